@@ -12,8 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lodestone.llm.common import chunks, id_and_text
 
@@ -118,6 +120,16 @@ def fit(labelled: DataFrame, *, per_language: int = 4000, seed: int = 11, id_col
     return Profiles(languages, (prototypes / np.maximum(lengths, 1e-9)).astype(np.float32), seed)
 
 
+def judge(texts: list[str], profiles: Profiles) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its cosine, cut to 0..1."""
+    found = vectors(texts, profiles.seed)
+    if not profiles.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    cosines, known = found @ profiles.prototypes.T, found.any(axis=1)
+    langs = [profiles.languages[b] if k else UNKNOWN for b, k in zip(cosines.argmax(axis=1).tolist(), known.tolist(), strict=True)]
+    return langs, np.where(known, np.clip(cosines.max(axis=1).astype(np.float64), 0, 1), 0)
+
+
 def predict(df: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred and score (the cosine, cut to 0..1), from the whole text alone.
 
@@ -129,19 +141,30 @@ def predict(df: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_c
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = vectors(part.column("text").to_pylist(), profiles.seed)
-                langs, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-                if profiles.languages:
-                    cosines = found @ profiles.prototypes.T
-                    best = cosines.argmax(axis=1)
-                    known = found.any(axis=1)
-                    langs = [profiles.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                    scores = np.where(known, np.clip(cosines.max(axis=1).astype(np.float64), 0, 1), 0)
+                langs, scores = judge(part.column("text").to_pylist(), profiles)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
+    """All columns of `df` with __lang and __score, as predict() has them, in one pass and without a join."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text_col)
+            whole = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.compute.fill_null(texts, ""))
+            at = 0
+            for part in chunks(whole, text_col):
+                langs, scores = judge(part.column(text_col).to_pylist(), profiles)
+                rows = batch.slice(at, part.num_rows)
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, "__lang", "__score"])
+
+    schema = StructType([*df.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
+    return df.mapInArrow(run, schema)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3: rows with 1 are held out."""
     return F.crc32(F.col(id_col).cast("string")) % 3

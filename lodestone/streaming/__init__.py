@@ -1,0 +1 @@
+"""Empty on purpose: the dialect has no streams, so there is nothing to run on Structured Streaming."""

@@ -1,0 +1 @@
+"""Queries to DataFrames (compiler) and to the text of EXPLAIN (explain)."""

@@ -21,6 +21,8 @@ from lodestone.llm.common import Memo, Scratch, chunks, id_and_text
 from lodestone.llm.words import SPACED, mix, windows, word_hashes
 
 WORDS, BANDS, ROWS = 5, 45, 5
+#: A shingle is common in a hub's stars if more members hold it.
+COMMON = 8
 BINS = BANDS * ROWS
 
 
@@ -120,6 +122,50 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = scratch.write(small.select("e.*").where("node <> root").distinct(), "edges")
 
 
+def sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """`members` (hub, id, root, seeker) with size n and shingles of their texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column("text"))
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "id", "root", "seeker")), pa.array(np.diff(ends)), lists], ["hub", "id", "root", "seeker", "n", "shingles"])
+
+    joined = members.join(texts, "id").select("hub", "id", "root", "seeker", "text")
+    return joined.mapInArrow(run, "hub long, id long, root long, seeker boolean, n long, shingles array<long>")
+
+
+def past_the_hub(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of a hub's stars, of different components, that can be linked.
+
+    A link needs percent / (100 + percent) of both sizes in common. Of common shingles a pair shares at
+    most what the poorer member holds. If that can do, sizes are near enough to be looked up by size;
+    else the pair shares a rare shingle, and there are at most COMMON members to each of those.
+    """
+    items = members.select("hub", "id", "root", "seeker", "n", F.explode("shingles").alias("s"))
+    shared = items.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rare = F.collect_list(F.when(F.col("held") <= COMMON, F.col("s")))
+    known = items.join(shared, ["hub", "s"]).groupBy("hub", "id", "root", "seeker", "n").agg(F.count_if(F.col("held") > COMMON).alias("common"), rare.alias("rare"))
+    known = scratch.write(known, "known")
+    other = known.select("hub", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "common", "rare")))
+    seekers = known.where("seeker")
+    fits = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    need = percent * (F.col("n") + F.col("n2"))
+    held = (100 + percent) * F.least("common", "common2")
+    one = seekers.withColumn("s", F.explode("rare")).drop("rare", "seeker")
+    two = other.withColumn("s", F.explode("rare2")).drop("rare2")
+    met = one.join(two, ["hub", "s"]).where(fits).groupBy("hub", "id", "id2", "n", "n2", "common", "common2").agg(F.count(F.lit(1)).alias("met"))
+    by_rare = met.where((100 + percent) * F.col("met") >= need - held)
+    size = lambda n: F.floor(F.log(n) / 0.05).cast("int")
+    least, most = F.ceil(F.col("n") * percent / 100), F.floor(F.col("common") * (100 + percent) / percent - F.col("n"))
+    wide = seekers.where((most >= least) & (most > 0)).withColumn("size", F.explode(F.sequence(size(least), size(most)))).drop("rare", "seeker")
+    by_size = wide.join(other.drop("rare2").withColumn("size", size(F.col("n2"))), ["hub", "size"]).where(fits & (held >= need))
+    pairs = by_rare.select("id", "id2").unionByName(by_size.select("id", "id2"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -144,13 +190,13 @@ def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", tex
     roots = components(confirm(stars, texts, percent), scratch)
     # second round: only buckets that still span components, and only pairs across these
     label = roots.select(F.col("node").alias("id"), "root")
-    sizes = classes.select("id", "n").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     placed = members.join(label, "id", "left").select("band", "id", "hub", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = scratch.write(placed.join(mixed, "band").join(sizes, "id"), "mixed")
-    other = rest.select("band", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "least", "most")))
-    near = (100 * F.least("most", "most2") >= percent * F.greatest("least", "least2")) & (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (F.col("hub") != F.col("id")) & (F.col("hub") != F.col("id2"))
-    across = rest.join(other, "band").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    rest = scratch.write(placed.where("id <> hub").join(mixed, "band", "left_semi").select("hub", "id", "root").distinct(), "rest")
+    open_hubs = rest.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub")
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    rest = rest.join(open_hubs, "hub").join(of_hub, "hub", "left").withColumn("seeker", F.col("root") != F.coalesce("hub_root", "hub"))
+    across = past_the_hub(scratch.write(sets_of(rest, texts), "sets"), percent, scratch)
     more = scratch.write(confirm(across, texts, percent), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)

@@ -21,10 +21,14 @@ def line_keys(df: DataFrame, text: Column, least_chars: int) -> DataFrame:
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(17), "line")}).drop("line")
 
 
-def dropped_positions(lines: DataFrame, least_documents: int) -> DataFrame:
-    """doc_id, print and the positions that go, of `lines` (doc_id, print, position, k1, k2)."""
+def dropped_positions(lines: DataFrame, least_documents: int, scratch: Scratch) -> DataFrame:
+    """doc_id, print and the positions that go, of `lines` (doc_id, print, position, k1, k2).
+
+    The common hashes are written first: with plain shuffles on both sides the join can split a hot hash.
+    """
     documents = lines.select("k1", "k2", "doc_id").distinct()
     common = documents.groupBy("k1", "k2").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_documents)
+    common = scratch.write(common, "common")
     gone = lines.join(common, ["k1", "k2"]).where(F.col("doc_id") != F.col("last"))
     return gone.groupBy("doc_id", "print").agg(F.collect_set("position").alias("gone"))
 
@@ -42,7 +46,7 @@ def dedup_lines(df: DataFrame, *, least_chars: int = 40, least_documents: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
     lines = line_keys(keyed, F.col("text"), least_chars).select("doc_id", "print", "position", "k1", "k2")
-    gone = dropped_positions(scratch.write(lines, "lines"), least_documents)
+    gone = dropped_positions(scratch.write(lines, "lines"), least_documents, scratch)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
     # split here, before the shuffle, so that the lambda below indexes an array at hand
     split = df.withColumns({"__key": F.xxhash64(text), "__lines": F.split(text, "\n")})

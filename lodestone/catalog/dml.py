@@ -44,21 +44,29 @@ class Writer:
         for key in table.keys:
             values = [tuple(row[names.index(c)] for c in key) for row in batch]
             whole = [v for v in values if None not in v]
+            self.key_read(table.name, key, set(whole))
             if len(set(whole)) < len(whole) or self.among(table, key, set(whole)):
                 raise ConstraintError(f"UNIQUE constraint violation on column {', '.join(key)}")
         for key in table.foreign_keys:
             own = {tuple(row[names.index(c)] for c in key.columns) for row in batch}
             wanted = {v for v in own if None not in v}
+            self.key_read(key.parent, key.parent_columns, wanted)
             if key.parent == table.name:  # rows of the batch may refer to each other
                 wanted -= {tuple(row[names.index(c)] for c in key.parent_columns) for row in batch}
             if wanted - self.present(self.db.table(key.parent), key.parent_columns, wanted):
                 raise ConstraintError(f"FOREIGN KEY constraint violation on column {', '.join(key.columns)}")
-        data = [(table.next_row_id + i, *row) for i, row in enumerate(batch)]
-        df = self.store.spark.createDataFrame(data, table.struct).coalesce(1)
-        self.db = self.db.with_table(self.store.append(self.db, table, df, len(batch)))
+        first = self.store.allocate(table, len(batch))
+        df = self.store.spark.createDataFrame([(first + i, *row) for i, row in enumerate(batch)], table.struct).coalesce(1)
+        self.db = self.db.with_table(self.store.append(self.db, table, df, len(batch), first + len(batch)))
         self.note(table.name, df)
         return len(batch)
 
+    def key_read(self, table: str, columns: tuple, keys: set) -> None:
+        """A check of keys is a read of them: a concurrent change of the same keys is a conflict."""
+        if self.images and keys:
+            parts = [ast.InList(ast.Ref(c), tuple(sorted({k[i] for k in keys}))) for i, c in enumerate(columns)]
+            self.access.reads.append((table, parts[0] if len(parts) == 1 else ast.And(tuple(parts))))
+
     def checked_row(self, table: Table, values: tuple) -> tuple:
         if len(values) != len(table.columns):
             raise EngineError("column count does not match the table")
@@ -106,6 +114,8 @@ class Writer:
             return 0
         self.check_value(column, command.value)
         self.note(table.name, hits)
+        if column.unique and command.value is not None:
+            self.key_read(table.name, (column.name,), {(command.value,)})
         parents = [(c, k) for c, k in self.db.children(table.name) if column.name in k.parent_columns]
         self.assign(table, hits, {column.name: command.value})
         for child, key in parents:

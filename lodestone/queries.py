@@ -123,7 +123,7 @@ sql("agg_over_join", "SELECT n.n_name, COUNT(*), SUM(o.o_totalprice) FROM orders
 sql("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 25")
 sql("order_hidden_column", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 10", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 10")
 sql("order_after_group", "SELECT c_nationkey, COUNT(*) FROM customer GROUP BY c_nationkey ORDER BY c_nationkey DESC LIMIT 7", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY c_nationkey DESC LIMIT 7", "c_nationkey n")
-sql("order_null_first", "SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance LIMIT 2", f"WITH {SPARSE} SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance NULLS FIRST LIMIT 2")
+sql("order_null_first", "SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance LIMIT 3", f"WITH {SPARSE} SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance NULLS FIRST LIMIT 3")
 sql("limit_zero", "SELECT c_name FROM customer LIMIT 0", "SELECT c_name FROM customer LIMIT 0")
 
 # set operations

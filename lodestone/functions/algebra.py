@@ -1,8 +1,9 @@
 """The comparison algebra of the dialect as Spark columns.
 
-Comparisons are two-valued: NULL equals NULL and is below everything else, and values of different kinds
-are never equal but ordered by kind (INT, DOUBLE, STRING). Every form stays a plain column expression,
-so filters reach the Parquet scan and equalities stay join keys.
+NULL equals NULL and is below everything else, and values of different kinds are never equal but ordered
+by kind (INT, DOUBLE, STRING). The dialect has no NOT, so a NULL that comes out of a condition is as good
+as false; where that makes a shorter form, it is used. Every form stays a plain column expression, so
+filters reach the Parquet scan and equalities stay join keys.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def literal(value) -> Operand:
 
 
 def compare(left: Operand, op: str, right: Operand) -> Column:
-    """left op right, never NULL itself."""
+    """left op right; NULL, if at all, only where it means false."""
     a, b = left.column, right.column
     if not left.kind or not right.kind:
         return against_null(left, op, right)
@@ -55,7 +56,7 @@ def compare(left: Operand, op: str, right: Operand) -> Column:
         by_kind = F.lit(below if op == "<" else not below)
         return ordered(left, op, right, by_kind)
     if op == "=":
-        return a.eqNullSafe(b)
+        return a.eqNullSafe(b) if left.nullable and right.nullable else a == b
     return ordered(left, op, right, a < b if op == "<" else a > b)
 
 
@@ -79,7 +80,7 @@ def against_null(left: Operand, op: str, right: Operand) -> Column:
 def within(column: Operand, values: tuple) -> Column:
     """IN a list: values of another kind never match, NULL matches NULL."""
     same = [v for v in values if v is not None and literal(v).kind == column.kind]
-    found = F.coalesce(column.column.isin(same), F.lit(False)) if column.nullable and same else column.column.isin(same) if same else F.lit(False)
+    found = column.column.isin(same) if same else F.lit(False)
     return found | column.column.isNull() if None in values else found
 
 
@@ -87,14 +88,14 @@ def like(column: Operand, pattern: str) -> Column:
     """`%` and `_` without an escape character; NULL and other kinds never match."""
     if column.kind != "STRING":
         return F.lit(False)
-    return F.coalesce(column.column.like(pattern.replace("\\", "\\\\")), F.lit(False))
+    return column.column.like(pattern.replace("\\", "\\\\"))
 
 
 def matches(column: Operand, pattern: str) -> Column:
     """An unanchored regular-expression search, in Java's syntax."""
     if column.kind != "STRING":
         return F.lit(False)
-    return F.coalesce(column.column.rlike(pattern), F.lit(False))
+    return column.column.rlike(pattern)
 
 
 def check_pattern(spark, pattern: str) -> None:

@@ -1,10 +1,15 @@
-"""Recursive queries: a driver loop over DataFrames, one checkpoint a member and round."""
+"""Recursive queries: a driver loop over DataFrames.
+
+A round whose new rows are few keeps them as a local relation, which costs one job and no files; larger
+ones are checkpointed. Either way each round's plan starts afresh.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.errors import EngineError
@@ -12,6 +17,10 @@ from lodestone.operators import relational
 from lodestone.sources.files import checkpointed
 
 
+#: Rows that a member may hold on the driver between rounds.
+LOCAL_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class Limits:
     iterations: int = 1000
@@ -36,25 +45,47 @@ def new_rows(step: DataFrame, seen: DataFrame, keep_all: bool) -> DataFrame:
     return relational.anti_join(step.distinct(), seen, [(c, c) for c in step.columns]) if step.columns else step
 
 
+@dataclass(frozen=True)
+class Held:
+    """Rows cut from their lineage: local if few, else in the checkpoint folder."""
+
+    df: DataFrame
+    size: int
+    local: pa.Table | None
+
+    @staticmethod
+    def of(df: DataFrame) -> Held:
+        table = df.limit(LOCAL_ROWS + 1).toArrow()
+        if table.num_rows <= LOCAL_ROWS:
+            return Held.at(df, table)
+        kept = checkpointed(df)
+        return Held(kept, kept.count(), None)
+
+    @staticmethod
+    def at(df: DataFrame, table: pa.Table) -> Held:
+        return Held(df.sparkSession.createDataFrame(table, df.schema), table.num_rows, table)
+
+    def plus(self, other: Held) -> Held:
+        if not other.size:
+            return self
+        if self.local is not None and other.local is not None and self.size + other.size <= LOCAL_ROWS:
+            return Held.at(self.df, pa.concat_tables([self.local, other.local.cast(self.local.schema)]))
+        kept = checkpointed(self.df.unionAll(other.df))
+        return Held(kept, self.size + other.size, None)
+
+
 def run(members: list[Member], limits: Limits) -> dict[str, DataFrame]:
     """Evaluates a group in lockstep until no member has new rows. Each name means the rows of the last
     round, or all rows so far for an accumulator. The caps are checked before rows are added."""
-    total = {m.name: checkpointed(m.anchor if m.keep_all else m.anchor.distinct()) for m in members}
-    delta = dict(total)
-    fresh = held = sum(df.count() for df in total.values())
-    rounds = 0
-    while fresh:
+    total = {m.name: Held.of(m.anchor if m.keep_all else m.anchor.distinct()) for m in members}
+    delta, rounds = dict(total), 0
+    while any(d.size for d in delta.values()):
         if rounds >= limits.iterations:
             raise EngineError("WITH RECURSIVE exceeded maximum iteration count")
         rounds += 1
-        bound = {m.name: total[m.name] if m.accumulator else delta[m.name] for m in members}
-        added = {m.name: checkpointed(new_rows(m.arm(bound), total[m.name], m.keep_all)) for m in members}
-        sizes = {name: df.count() for name, df in added.items()}
-        held += sum(sizes.values())
-        if held > limits.rows:
+        bound = {m.name: (total if m.accumulator else delta)[m.name].df for m in members}
+        delta = {m.name: Held.of(new_rows(m.arm(bound), total[m.name].df, m.keep_all)) for m in members}
+        if sum(d.size for d in (*total.values(), *delta.values())) > limits.rows:
             raise EngineError("WITH RECURSIVE exceeded maximum row count")
-        for name, size in sizes.items():
-            if size:
-                total[name] = checkpointed(total[name].unionAll(added[name])) if rounds % 8 == 0 else total[name].unionAll(added[name])
-        delta, fresh = added, sum(sizes.values())
-    return total
+        total = {name: held.plus(delta[name]) for name, held in total.items()}
+    return {name: held.df for name, held in total.items()}

@@ -2,8 +2,9 @@
 
 A subquery that refers to outer rows is compiled once, against its domain: the distinct values of the
 outer columns it uses. The domain's columns travel through the subquery, join groups, windows and set
-operations, and the outer query is semi-joined with what comes out. So correlation of any depth becomes
-joins, never an evaluation for each row.
+operations, and the outer query is semi-joined with what comes out. A subquery that is only FROM and
+WHERE needs no domain: its correlated conditions are those of the semi-join itself. So correlation of any
+depth becomes joins, never an evaluation for each row.
 """
 
 from __future__ import annotations
@@ -386,10 +387,37 @@ def subquery(frame: Frame, node, env: Environment) -> tuple[DataFrame, list[tupl
 def semi(frame: Frame, node, env: Environment) -> DataFrame:
     if isinstance(node, ast.Exists) and always(node.select):
         return frame.df
+    if (found := direct_semi(frame, node, env)) is not None:
+        return found
     keys, pairs = subquery(frame, node, env)
     return relational.semi_join(frame.df, keys, pairs)
 
 
+def direct_semi(frame: Frame, node, env: Environment) -> DataFrame | None:
+    """The semi-join with a subquery of FROM and WHERE alone, whose outer names stand in plain conditions."""
+    select, inner_env = node.select, replace(env, level=env.level + 1)
+    if select.set_ops or select.ctes or select.aggregated or select.limit is not None:
+        return None
+    free = free_names(select, inner_env)
+    if any(depth > 1 for depth in free.values()) or any(s.select and free_names(s.select, inner_env) for s in sources(select)):
+        return None
+    parts = select.where.parts if isinstance(select.where, ast.And) else (select.where,) if select.where is not None else ()
+    outer = [p for p in parts if free.keys() & set(shallow_names(p))]
+    if any(shallow_subqueries(p) for p in outer):
+        return None
+    inner = from_clause(select, inner_env, None)
+    if own := tuple(p for p in parts if p not in outer):
+        inner = filtered(inner, ast.And(own), inner_env)
+    both = Frame(frame.df, inner.cols, (*frame.cols, *frame.carried))
+    on = [condition(p, both, inner_env, {}) for p in outer]
+    if isinstance(node, ast.InSelect):
+        cols = [c for item in select.items for c in (inner.cols if isinstance(item, ast.Star) else [needed(item.column, inner)])]
+        if len(cols) != 1:
+            raise EngineError("IN subquery must return one column")
+        on.append(algebra.compare(lookup(node.column.name, frame, env).operand(), "=", cols[0].operand()))
+    return frame.df.join(inner.df, reduce(lambda a, b: a & b, on), "left_semi") if on else None
+
+
 def marked(frame: Frame, predicate, env: Environment) -> Frame:
     """A predicate with subqueries under OR: each adds a marker column by a left join on its distinct keys."""
     df, markers = frame.df, {}

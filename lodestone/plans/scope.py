@@ -54,7 +54,7 @@ def fresh(name: str) -> str:
 def frame_of(df: DataFrame, table: str, scope: str, level: int, names: list[str] | None = None) -> Frame:
     """A source as a frame; `names` are what its columns are called if not as in the DataFrame."""
     inner = [fresh(c) for c in df.columns]
-    cols = tuple(Col(n, table, scope.lower(), i, algebra.kind_of(f.dataType), f.nullable, level) for n, i, f in zip(names or df.columns, inner, df.schema.fields, strict=True))
+    cols = tuple(Col(n, table, scope.lower(), i, algebra.kind_of(f.dataType), f.nullable and not f.metadata.get("required"), level) for n, i, f in zip(names or df.columns, inner, df.schema.fields, strict=True))
     return Frame(df.toDF(*inner), cols)
 
 

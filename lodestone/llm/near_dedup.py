@@ -23,6 +23,8 @@ from lodestone.llm.words import SPACED, mix, windows, word_hashes
 WORDS, BANDS, ROWS = 5, 45, 5
 #: A shingle is common in a hub's stars if more members hold it.
 COMMON = 8
+#: Counters of a sketch, and rows of the two sides of a block.
+COUNTERS, BLOCK_MEMBERS, BLOCK_SEEKERS = 1024, 2048, 512
 BINS = BANDS * ROWS
 
 
@@ -122,8 +124,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = scratch.write(small.select("e.*").where("node <> root").distinct(), "edges")
 
 
+def counters(shingles: np.ndarray) -> bytes:
+    """Shingles by hash, as uint16. Beyond what those hold, all are full, and the bound says nothing."""
+    if len(shingles) > 0xFFFF:
+        return np.full(COUNTERS, 0xFFFF, "<u2").tobytes()
+    return np.bincount((shingles % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype("<u2").tobytes()
+
+
 def sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """`members` (hub, id, root, seeker) with size n and shingles of their texts."""
+    """`members` (hub, id, root, seeker) with size n, shingles and counters of their texts."""
 
     def run(batches):
         for batch in batches:
@@ -131,18 +140,18 @@ def sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "id", "root", "seeker")), pa.array(np.diff(ends)), lists], ["hub", "id", "root", "seeker", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "id", "root", "seeker")), pa.array(np.diff(ends)), lists, pa.array([counters(x) for x in sets], pa.binary())], ["hub", "id", "root", "seeker", "n", "shingles", "counters"])
 
     joined = members.join(texts, "id").select("hub", "id", "root", "seeker", "text")
-    return joined.mapInArrow(run, "hub long, id long, root long, seeker boolean, n long, shingles array<long>")
+    return joined.mapInArrow(run, "hub long, id long, root long, seeker boolean, n long, shingles array<long>, counters binary")
 
 
 def past_the_hub(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of members of a hub's stars, of different components, that can be linked.
 
     A link needs percent / (100 + percent) of both sizes in common. Of common shingles a pair shares at
-    most what the poorer member holds. If that can do, sizes are near enough to be looked up by size;
-    else the pair shares a rare shingle, and there are at most COMMON members to each of those.
+    most what the poorer member holds. If that cannot do, the pair shares a rare shingle, and there are at
+    most COMMON members to each of those; else blocks of the hub's members are tried.
     """
     items = members.select("hub", "id", "root", "seeker", "n", F.explode("shingles").alias("s"))
     shared = items.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
@@ -150,22 +159,55 @@ def past_the_hub(members: DataFrame, percent: int, scratch: Scratch) -> DataFram
     known = items.join(shared, ["hub", "s"]).groupBy("hub", "id", "root", "seeker", "n").agg(F.count_if(F.col("held") > COMMON).alias("common"), rare.alias("rare"))
     known = scratch.write(known, "known")
     other = known.select("hub", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "common", "rare")))
-    seekers = known.where("seeker")
     fits = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     need = percent * (F.col("n") + F.col("n2"))
     held = (100 + percent) * F.least("common", "common2")
-    one = seekers.withColumn("s", F.explode("rare")).drop("rare", "seeker")
+    one = known.where("seeker").withColumn("s", F.explode("rare")).drop("rare", "seeker")
     two = other.withColumn("s", F.explode("rare2")).drop("rare2")
     met = one.join(two, ["hub", "s"]).where(fits).groupBy("hub", "id", "id2", "n", "n2", "common", "common2").agg(F.count(F.lit(1)).alias("met"))
     by_rare = met.where((100 + percent) * F.col("met") >= need - held)
-    size = lambda n: F.floor(F.log(n) / 0.05).cast("int")
-    least, most = F.ceil(F.col("n") * percent / 100), F.floor(F.col("common") * (100 + percent) / percent - F.col("n"))
-    wide = seekers.where((most >= least) & (most > 0)).withColumn("size", F.explode(F.sequence(size(least), size(most)))).drop("rare", "seeker")
-    by_size = wide.join(other.drop("rare2").withColumn("size", size(F.col("n2"))), ["hub", "size"]).where(fits & (held >= need))
-    pairs = by_rare.select("id", "id2").unionByName(by_size.select("id", "id2"))
+    by_block = tried_in_blocks(known.drop("rare"), members.select("hub", "id", "counters"), percent)
+    pairs = by_rare.select("id", "id2").unionByName(by_block)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def tried_in_blocks(known: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, id2) whose common shingles alone could make a link, and whose counters allow one.
+
+    Members and seekers of a hub are dealt to blocks of bounded size, so a hub of any size is spread
+    over tasks; a pair leaves its block only if the sum of the lesser counters reaches what a link needs.
+    """
+    # the smallest size that can be linked to a seeker must need no more than the seeker's common shingles
+    open_ended = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100))
+    known = known.withColumn("seeks", F.col("seeker") & open_ended)
+    blocks = known.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("rows"), F.ceil(F.count_if("seeks") / BLOCK_SEEKERS).cast("int").alias("columns")).where("columns > 0")
+    known = known.join(sketches, ["hub", "id"]).join(blocks, "hub")
+    part = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = ("hub", "row", "column", "id", "root", "n", "common", "counters")
+    left = known.withColumns({"row": part("rows"), "column": every("columns")}).select(*columns)
+    right = known.where("seeks").withColumns({"column": part("columns"), "row": every("rows")}).select(*(F.col(c).alias(f"{c}2") for c in columns))
+
+    def matrix(table: pa.Table, mark: str = "") -> tuple:
+        plain = [table.column(c + mark).to_numpy() for c in ("id", "root", "n", "common")]
+        return *plain, np.frombuffer(b"".join(table.column("counters" + mark).to_pylist()), "<u2").reshape(-1, COUNTERS)
+
+    def run(members: pa.Table, seekers: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if members.num_rows and seekers.num_rows:
+            ids, roots, sizes, commons, sketch = matrix(members)
+            for one, root, n, common, own in zip(*matrix(seekers, "2"), strict=True):
+                need = percent * (n + sizes)
+                near = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+                at = np.flatnonzero(near & (roots != root) & ((100 + percent) * np.minimum(common, commons) >= need))
+                bound = np.minimum(sketch[at], own).sum(axis=1, dtype=np.int64)
+                found += [(int(one), x) for x in ids[at[(100 + percent) * bound >= need[at]]].tolist()]
+        pairs = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(x, pa.int64()) for x in pairs], ["id", "id2"])
+
+    return left.groupBy("hub", "row", "column").cogroup(right.groupBy("hub2", "row2", "column2")).applyInArrow(run, "id long, id2 long")
+
+
 def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.bpe import byte_letters
+from lodestone.llm.bpe import byte_letters, latin
 from lodestone.llm.common import Memo, Scratch, chunks, id_and_text
 
 DIMS, BITS, CELL_BITS, HASHED = 3, 16, 15, 256
@@ -34,10 +33,6 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-įı-ɏ]")
 
 
-def latin(kind: str) -> str:
-    return "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
-
-
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, with a memo of words where that is exact."""
 

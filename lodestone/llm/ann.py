@@ -181,7 +181,7 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
                 if len(at) > shortlist:
                     near = coarse[i, cells[at]] + tables[i][codes[at]].sum(axis=1)
                     at = at[np.argpartition(-near, shortlist - 1)[:shortlist]]
-                scores = exact[at] @ queries[i]
+                scores = (exact[at] * queries[i]).sum(axis=1)  # equal vectors give equal bits, so ties are ties
                 best = np.lexsort((ids[at], -scores))[:k]
                 out["query_id"].append(np.full(len(best), query, np.int64))
                 out["vec_id"].append(ids[at][best])

@@ -70,6 +70,14 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def clear_prefix(df: DataFrame) -> str:
+    """`__`, or more underscores if a column begins with those: what operators put before names they add."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null text becomes empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import chunks, id_and_text
+from lodestone.llm.common import chunks, clear_prefix, id_and_text
 
 SYMBOLS, SIZE, GROUP = 40, 1024, 48
 GRAMS = SYMBOLS**3
@@ -148,7 +148,11 @@ def predict(df: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_c
 
 
 def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
-    """All columns of `df` with __lang and __score, as predict() has them, in one pass and without a join."""
+    """All columns of `df` with __lang and __score, as predict() has them, in one pass and without a join.
+
+    Where columns of `df` begin with `__`, more underscores are put before the added ones (common.clear_prefix).
+    """
+    added = [f"{clear_prefix(df)}{name}" for name in ("lang", "score")]
 
     def run(batches):
         for batch in batches:
@@ -159,9 +163,9 @@ def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> Da
                 langs, scores = judge(part.column(text_col).to_pylist(), profiles)
                 rows = batch.slice(at, part.num_rows)
                 at += part.num_rows
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rows.schema.names, *added])
 
-    schema = StructType([*df.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
+    schema = StructType([*df.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
     return df.mapInArrow(run, schema)
 
 

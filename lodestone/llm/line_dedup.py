@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ASCII_SPACE, Scratch, ascii_lower
+from lodestone.llm.common import ASCII_SPACE, Scratch, ascii_lower, clear_prefix
 
 
 def line_keys(df: DataFrame, text: Column, least_chars: int) -> DataFrame:
@@ -40,20 +40,22 @@ def dedup_lines(df: DataFrame, *, least_chars: int = 40, least_documents: int =
     points (stripped of ASCII white space, A-Z folded) found in `least_documents` documents goes, but from
     the largest id that holds it, which keeps all of its own. Rows that share an id are one document for
     the count. Rows without an id keep all lines. Ties cannot arise; empty tables give no row; other
-    columns pass through whatever their names.
+    columns pass through whatever their names: where some begin with `__`, more underscores are put before
+    the added ones (common.clear_prefix).
     """
-    scratch = Scratch(df.sparkSession, "lines")
+    scratch, p = Scratch(df.sparkSession, "lines"), clear_prefix(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
     lines = line_keys(keyed, F.col("text"), least_chars).select("doc_id", "print", "position", "k1", "k2")
     gone = dropped_positions(scratch.write(lines, "lines"), least_documents, scratch)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("gone").alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias(f"{p}id"), F.col("print").alias(f"{p}print"), F.col("gone").alias(f"{p}gone"))
     # split here, before the shuffle, so that the lambda below indexes an array at hand
-    split = df.withColumns({"__key": F.xxhash64(text), "__lines": F.split(text, "\n")})
-    joined = split.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__print")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__gone", F.array().cast("array<int>")))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
-    return joined.select(*(df[c] for c in df.columns), F.size("__lines").cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"), kept.alias("__kept"))
+    split = df.withColumns({f"{p}key": F.xxhash64(text), f"{p}lines": F.split(text, "\n")})
+    joined = split.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}print")), "left")
+    lost = F.coalesce(f"{p}gone", F.array().cast("array<int>"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(f"{p}lines") - 1), lost)
+    kept = F.when(F.col(f"{p}gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(f"{p}lines", i)), "\n"))
+    return joined.select(*(df[c] for c in df.columns), F.size(f"{p}lines").cast("long").alias(f"{p}n_lines"), F.size(lost).cast("long").alias(f"{p}n_dropped"), kept.alias(f"{p}kept"))
 
 
 ORACLE = r"""

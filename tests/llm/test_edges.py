@@ -18,7 +18,7 @@ WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json",
 def docs(spark, rows=ROWS):
     """With columns whose names operators use inside."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.withColumns({name: F.lit("clash") for name in ("row", "ids", "key", "band", "hub", "n_tokens", "position", "__id2", "shard", "score")})
+    return df.withColumns({name: F.lit("clash") for name in ("row", "ids", "key", "band", "hub", "n_tokens", "position", "shard", "score")})
 
 
 def empty(spark):
@@ -176,3 +176,21 @@ def test_license_scan(spark):
 def test_vocabularies_have_a_token_for_each_byte(name):
     vocab = json.load(open(public_tokenizers.path(name)))["model"]["vocab"]
     assert set(bpe.byte_letters()) <= set(vocab)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    texts = [(1, None, "en"), (2, "", "en"), (3, "the dog and the fox", None), (4, "1234", "de"), (5, "the dog and the cat and the bird", "en"), (6, "der hund und die katze", "de"), (6, "der hund und die katze", "de"), (None, "the cow and the hen", "en")]
+    texts += [(i, f"the {i} dog and a fox of {i} hens" if i % 2 else f"der {i} hund und ein fuchs von {i} hennen", "en" if i % 2 else "de") for i in range(100, 120)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({name: F.lit("clash") for name in ("__id", "__lang", "__kept", "__lines", "___id", "row", "band", "print", "key")})
+    for rows in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, "").columns == docs.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, "").columns[:3] == ["doc_id", "start", "length"]
+    kept = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 3, 5, 6, 6, *range(100, 120)]
+    assert corpus_pipeline.lines(spark, docs, "").count() == len(texts)
+    near = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in near) == [0, 1, 2, 3, 4, 5, 6, 6, *range(100, 120)]

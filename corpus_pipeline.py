@@ -7,34 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, line_dedup, near_dedup, packing
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, clear_prefix
 
 #: A document is rejected if it has no letters or its best cosine is below this.
 LEAST_SCORE = 0.05
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids` (one column)."""
-    ids = ids.toDF("__id").distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    """The rows of `docs` whose doc_id is in `ids` (one column), NULL too."""
+    ids = ids.toDF(f"{clear_prefix(docs)}id").distinct()
+    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids[ids.columns[0]]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language."""
+    """Documents in a learned language. Null and empty texts, and those without letters, go; repeated rows are judged alike."""
+    p = clear_prefix(docs)
     profiles = langid.fit(docs.where(langid.fold() != 1))
     found = langid.annotate(docs, profiles)
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    return found.where((F.col(f"{p}lang") != langid.UNKNOWN) & (F.col(f"{p}score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that five or more share."""
-    found = line_dedup.dedup_lines(docs)
-    kept = found.withColumns({"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")})
+    """Documents without the lines that five or more share; all rows stay, null texts become empty."""
+    kept = F.col(f"{clear_prefix(docs)}kept")
+    kept = line_dedup.dedup_lines(docs).withColumns({"text": kept, "n_chars": F.char_length(kept).cast("long")})
     return kept.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates. Texts without words stay; rows that repeat a kept id all stay."""
     return keep_ids(docs, near_dedup.near_groups(docs).where("kept").select("doc_id"))
 
 

@@ -118,6 +118,11 @@ def coder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
+def id_lists(found: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
 def encode_documents(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and ids (array of int) of its whole text.
 
@@ -131,9 +136,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = [encode(x) for x in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]) // 4
-                values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), id_lists(found)], ["doc_id", "ids"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -150,3 +153,17 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded: encode_documents() and decode_documents() in one pass, so with one Python worker a task."""
+
+    def run(batches):
+        own = coder(tokenizer_path)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = [own.encode(x) for x in part.column("text").to_pylist()]
+                texts = [own.decode(np.frombuffer(x, "<i4").tolist()) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), id_lists(found), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -44,6 +44,7 @@ def test_packing(spark):
 
 def test_bpe(spark):
     coded = bpe.decode_documents(bpe.encode_documents(docs(spark), BYTES), BYTES).collect()
+    assert sorted(map(repr, coded)) == sorted(map(repr, bpe.round_trip(docs(spark), BYTES).collect()))
     library, texts = Tokenizer.from_file(BYTES), {}
     for doc, text in ROWS:
         texts[doc] = text or ""

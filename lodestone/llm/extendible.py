@@ -52,11 +52,12 @@ def build(keyed: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
 def place(keyed: DataFrame, directory: DataFrame) -> DataFrame:
     """Adds depth, prefix, weight, entries and pages of its bucket to each row of `keyed` (key).
 
-    The directory is spread over the cells of its most common depth, so a row finds its bucket by one
-    equality join; a cell that was split further holds an array of its buckets.
+    The directory is spread over the cells of its most common depth, or a lesser one with at most about
+    eight cells to a bucket, so a row finds its bucket by one equality join; a cell that was split further
+    holds an array of its buckets.
     """
-    shallow = directory.groupBy("depth").count().orderBy(F.desc("count"), "depth").first()
-    level = shallow["depth"] if shallow else 0
+    common = directory.groupBy("depth").count().orderBy(F.desc("count"), "depth").collect()  # a row a depth
+    level = min(common[0]["depth"], 3 + math.ceil(math.log2(sum(r["count"] for r in common)))) if common else 0
     leaf = F.struct("depth", "prefix", "weight", "entries", "pages").alias("leaf")
     wide = directory.where(F.col("depth") <= level).select(F.explode(F.expr(f"sequence(shiftleft(prefix, {level} - depth), shiftleft(prefix + 1, {level} - depth) - 1)")).alias("cell"), leaf)
     deep = directory.where(F.col("depth") > level).select(F.expr(f"shiftright(prefix, depth - {level})").alias("cell"), leaf)

@@ -172,3 +172,25 @@ def test_base_phrases_against_brute_force(spark):
         r = found[doc]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(got), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
         assert labels <= set(r["labels"].split(","))
+
+
+def test_directory_splits_where_needed_alone(spark):
+    """Keys that share 53 bits need many rounds; the rest of the directory stays shallow."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import extendible
+    from lodestone.llm.common import Scratch
+
+    scratch = Scratch(spark, "test")
+    crowd = spark.range(100).select(F.col("id").alias("key"))
+    spread = spark.range(40).select((F.col("id") * (1 << 54) + 77).alias("key"))
+    keyed = scratch.write(crowd.unionByName(spread).withColumn("weight", F.lit(10).cast("long")), "keyed")
+    directory = extendible.build(keyed, 50, scratch)
+    leaves = directory.collect()
+    assert sum(r["entries"] for r in leaves) == 140 and all(r["weight"] <= 50 for r in leaves)
+    assert max(r["depth"] for r in leaves) >= 56 and min(r["depth"] for r in leaves) <= 5
+    for a, b in itertools.permutations(leaves, 2):  # no bucket lies within another
+        assert a["depth"] > b["depth"] or b["prefix"] >> (b["depth"] - a["depth"]) != a["prefix"]
+    placed = extendible.place(keyed, directory).collect()
+    assert len(placed) == 140
+    assert all(r["key"] >> (60 - r["depth"]) == r["prefix"] for r in placed)

@@ -89,5 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": sharding.ORACLE.format(limit=SHARD_BYTES),
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
 }

@@ -99,3 +99,28 @@ def scan_licenses(df: DataFrame, *, phrases=PHRASES, notices=NOTICES, least_cove
         F.coalesce(F.max(F.when(F.col("verified"), F.col("cover"))), F.lit(0.0)).alias("score"),
         F.collect_list(F.when(F.col("verified"), span)).alias("spans"),
     ).drop("row")
+
+
+def oracle(phrases=PHRASES, notices=NOTICES, least_cover: float = 0.75) -> str:
+    """The same in DuckDB, over the words themselves."""
+    rows = []
+    for number, (text, label, base) in enumerate([(*x, True) for x in phrases] + [(*x, False) for x in notices]):
+        words = text.split()
+        rows += [f"({number}, '{label}', {base}, {i}, {len(words) - 1}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    return rf"""
+WITH tpl(template, label, base, place, size, w1, w2) AS (VALUES {", ".join(rows)}),
+t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(ws) AS w1, unnest(range(len(ws))) AS pos FROM t),
+h AS (SELECT *, lead(w1) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM g),
+v AS (SELECT doc_id, template, label, base, size, pos - place AS diagonal, bit_or(CAST(1 AS BIGINT) << place) AS seen FROM h JOIN tpl USING (w1, w2) GROUP BY ALL),
+f AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER o <= {GAP} THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM f),
+s AS (SELECT doc_id, label, base, bit_count(bit_or(seen)) / size AS cover, min(diagonal) AS start FROM i GROUP BY doc_id, template, label, base, size, island),
+k AS (SELECT *, base AND cover = 1 AS whole, CASE WHEN base THEN cover = 1 ELSE cover >= {least_cover} END AS verified FROM s)
+SELECT t.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (whole) AS n_base,
+       min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified), '') AS labels,
+       coalesce(max(cover) FILTER (verified), 0.0) AS score
+FROM t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id
+"""

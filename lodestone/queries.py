@@ -13,32 +13,25 @@ from lodestone.functions import algebra
 from lodestone.operators import relational
 from lodestone.session import Session
 from lodestone.sources.files import checkpoint_root
+from lodestone.sources.tables import ParquetFolder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-class Tables(dict):
-    """The harness tables, read when first named; and small graphs made from nation."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        super().__init__()
-        self.spark, self.sf_dir = spark, sf_dir
+class Tables(ParquetFolder):
+    """The harness tables, and small relations made from them: graphs, and one with NULL keys."""
 
     def __contains__(self, name: object) -> bool:
         return name in TABLES or name in ("hops", "tree", "sparse_customer")
 
-    def __missing__(self, name: str) -> DataFrame:
-        read = lambda t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet")
+    def made(self, name: str) -> DataFrame:
         if name == "hops":  # a graph with a cycle: k to 2k + 1 modulo 25
-            found = read("nation").selectExpr("n_nationkey AS src", "CAST((n_nationkey * 2 + 1) % 25 AS INT) AS dst")
-        elif name == "tree":  # k below (k - 1) / 2; the root below itself
-            found = read("nation").selectExpr("n_nationkey AS id", "CAST(IF(n_nationkey = 0, -1, (n_nationkey - 1) div 2) AS INT) AS parent", "n_name AS name")
-        elif name == "sparse_customer":  # with NULL keys
-            found = read("customer").selectExpr("c_custkey", "IF(c_nationkey % 3 = 0, NULL, c_nationkey) AS nation", "IF(c_custkey % 4 = 0, NULL, c_acctbal) AS balance")
-        else:
-            found = read(name)
-        self[name] = found
-        return found
+            return self["nation"].selectExpr("n_nationkey AS src", "CAST((n_nationkey * 2 + 1) % 25 AS INT) AS dst")
+        if name == "tree":  # k below (k - 1) / 2
+            return self["nation"].selectExpr("n_nationkey AS id", "CAST(IF(n_nationkey = 0, -1, (n_nationkey - 1) div 2) AS INT) AS parent", "n_name AS name")
+        if name == "sparse_customer":
+            return self["customer"].selectExpr("c_custkey", "IF(c_nationkey % 3 = 0, NULL, c_nationkey) AS nation", "IF(c_custkey % 4 = 0, NULL, c_acctbal) AS balance")
+        return super().made(name)
 
 
 HOPS = "hops AS (SELECT n_nationkey AS src, CAST((n_nationkey * 2 + 1) % 25 AS INTEGER) AS dst FROM nation)"
@@ -50,9 +43,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    session = Session(spark)
-    session.given = Tables(spark, sf_dir)
-    return session.query(sql)
+    return Session(spark, tables=Tables(spark, sf_dir)).query(sql)
 
 
 def sql(name: str, statement: str, oracle: str, names: str = "", rounded: str = "") -> None:

@@ -277,3 +277,14 @@ def test_cli(spark, root):
     assert cli.main(root, script, out, errors, spark) == 0
     assert out.getvalue().splitlines() == ["created database", "created table", "inserted 2 row(s)", "selected rows", "id\tn", "1\tx", "2\tNULL", "bye"]
     assert errors.getvalue() == "error: unknown column nope\n"
+
+
+def test_parquet_folder(spark, tmp_path):
+    from lodestone.sources.tables import ParquetFolder
+
+    spark.range(3).toDF("id").write.parquet(f"file://{tmp_path}/T.parquet")
+    folder = ParquetFolder(spark, f"file://{tmp_path}/")
+    assert list(folder) == ["T"] and len(folder) == 1 and "U" not in folder
+    session = Session(spark, tables=folder)
+    assert rows(session, "SELECT id FROM T WHERE id > 0 ORDER BY id") == [1, 2]
+    refused(session, "SELECT id FROM U", "unknown table U")

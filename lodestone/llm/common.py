@@ -36,16 +36,17 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.last = 0, ""
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
-        path = f"{self.path}/{self.count:03d}-{name}"
+        self.last = f"{self.count:03d}-{name}"
+        path = f"{self.path}/{self.last}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        """Delete one table of this scratch space (`NNN-name`), or all of it."""
+        """Delete one table, by what `last` was after it was written, or all of them."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

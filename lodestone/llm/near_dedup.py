@@ -118,10 +118,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
+        before = scratch.last
         large = scratch.write(large, "large")
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(least, "node").select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("low").alias("root")), F.struct("node", F.col("low").alias("root")))).alias("e"))
+        middle = scratch.last
         edges = scratch.write(small.select("e.*").where("node <> root").distinct(), "edges")
+        scratch.drop(before)
+        scratch.drop(middle)
 
 
 def counters(shingles: np.ndarray) -> bytes:

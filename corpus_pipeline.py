@@ -52,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    """The stages applied to documents. A stage's table goes once the next one is written."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), ""
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            scratch.drop(before)
+        before = scratch.last
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop()  # packing has tokenised its documents into a table of its own
+    return pieces

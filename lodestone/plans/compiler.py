@@ -120,7 +120,7 @@ def recursive_group(cte: ast.Cte, ctes: tuple) -> list[ast.Cte]:
 
 
 def recursive(group: list[ast.Cte], env: Environment, domain: Frame | None) -> dict[str, DataFrame]:
-    if domain and any(free_names(c.select, env.bind(Binding(c.name, domain.df, []))) for c in group):
+    if domain and any(free_names(c.select, env, tuple(group)) for c in group):
         raise EngineError("a recursive CTE cannot refer to outer rows")
     anchors = {c.name: compile_core(replace(c.select, ctes=(), set_ops=()), env).result() for c in group}
     anchors = {n: df.toDF(*(x.rpartition(".")[2] for x in df.columns)) for n, df in anchors.items()}

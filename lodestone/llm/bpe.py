@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import Memo, chunks, id_and_text
+from lodestone.llm.common import Memo, chunks, held, id_and_text
 
 #: The pattern of byte-level pre-tokens.
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -43,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, memo: int = 300_000) -> None:
+    def __init__(self, path: str, memo: int = 150_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -113,9 +112,8 @@ class ForcedBoundaryBPE:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path)
+    return held(ForcedBoundaryBPE, path)
 
 
 def id_lists(found: list[bytes]) -> pa.ListArray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds unpacked at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The white space that the word and line operators know.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Without it a local session finds the package only if it was started in its folder. On a cluster the
+    package comes to the executors in the usual ways (installed there, or by --py-files); this changes
+    nothing then.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: `spark.checkpoint.dir`, or a temporary one in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -34,6 +49,7 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        importable(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count, self.last = 0, ""
@@ -81,9 +97,24 @@ def clear_prefix(df: DataFrame) -> str:
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null text becomes empty."""
+    importable(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_held: list = [None, None]
+
+
+def held(make, *key):
+    """A heavy object of this process: made when first asked for, and let go when another one is.
+
+    Python workers serve stage after stage, so what one stage loads should not stay for the next.
+    """
+    if _held[0] != (make, key):
+        _held[:] = [None, None]
+        _held[:] = [(make, key), make(*key)]
+    return _held[1]
+
+
 class Memo(dict):
     """A bounded memo of `make`: two generations, of which the older goes when the newer is full."""
 

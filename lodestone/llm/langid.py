@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import chunks, clear_prefix, id_and_text
+from lodestone.llm.common import chunks, clear_prefix, held, id_and_text, importable
 
 SYMBOLS, SIZE, GROUP = 40, 1024, 48
 GRAMS = SYMBOLS**3
@@ -27,7 +27,7 @@ UNKNOWN = "und"
 @lru_cache(maxsize=1)
 def slots() -> np.ndarray:
     """The symbol of each code point: 0 for all but letters, 1 to 26 for a to z, a hashed one for others."""
-    table = np.zeros(0x110000, np.int32)
+    table = np.zeros(0x110000, np.int8)
     for code in [*range(0x30000)]:
         letter = chr(code)
         if letter.isalpha():
@@ -36,7 +36,6 @@ def slots() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=2)
 def gram_vectors(seed: int) -> np.ndarray:
     """The bound vector of each trigram of symbols."""
     letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, SIZE))
@@ -49,7 +48,7 @@ def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The trigrams of each text and their counts. Runs of other characters are one word boundary."""
     wrapped = [f"\n{x}\n" for x in texts]
     codes = np.frombuffer("".join(wrapped).encode("utf-32-le", "replace"), "<u4")
-    symbols = slots()[codes]
+    symbols = slots()[codes].astype(np.int32)
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in wrapped])
     keep = symbols > 0
     keep[1:] |= (symbols[:-1] > 0) | (owner[1:] != owner[:-1])
@@ -68,7 +67,7 @@ def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def vectors(texts: list[str], seed: int) -> np.ndarray:
     """The bundled vector of each text, of unit length; zero if it has no letters."""
-    table, out = gram_vectors(seed), np.zeros((len(texts), SIZE), np.float32)
+    table, out = held(gram_vectors, seed), np.zeros((len(texts), SIZE), np.float32)
     for k in range(0, len(texts), GROUP):
         found = gram_counts(texts[k : k + GROUP])
         used = np.unique(np.concatenate([at for at, _ in found]))
@@ -93,6 +92,7 @@ def fit(labelled: DataFrame, *, per_language: int = 4000, seed: int = 11, id_col
     At most about `per_language` rows of each language are used, chosen by a hash of their id: the bound
     of the sample. Every vector counts alike and is rounded, so sums do not depend on their order.
     """
+    importable(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     share = {r["lang"]: per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
     if not share:
@@ -152,6 +152,7 @@ def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> Da
 
     Where columns of `df` begin with `__`, more underscores are put before the added ones (common.clear_prefix).
     """
+    importable(df.sparkSession)
     added = [f"{clear_prefix(df)}{name}" for name in ("lang", "score")]
 
     def run(batches):

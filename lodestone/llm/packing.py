@@ -13,7 +13,6 @@ import json
 import math
 import re
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm.bpe import byte_letters, latin
-from lodestone.llm.common import Memo, Scratch, chunks, id_and_text
+from lodestone.llm.common import Memo, Scratch, chunks, held, id_and_text
 
 DIMS, BITS, CELL_BITS, HASHED = 3, 16, 15, 256
 PARTITION_BYTES = 64 << 20
@@ -36,7 +35,7 @@ UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xa0-įı-ɏ]")
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, with a memo of words where that is exact."""
 
-    def __init__(self, path: str, memo: int = 300_000) -> None:
+    def __init__(self, path: str, memo: int = 150_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -62,9 +61,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(WordEncoder, path)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -196,15 +194,15 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     edges = [full * length, *(full * length + sum(rest[: i + 1]) for i in range(len(rest)))]
 
     def cut(batches):
-        wide, at, stretch = np.dtype(encoder(tokenizer_path).width), 0, -1
+        at, stretch = 0, -1
         for batch in batches:
             out: list[tuple] = []
-            held = 0
-            for doc, group, raw in zip(batch.column("doc_id").to_pylist(), batch.column("stretch").to_pylist(), batch.column("ids"), strict=True):
+            waiting = 0
+            for doc, group, raw, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "stretch")), batch.column("ids"), batch.column("n_tokens").to_pylist(), strict=True):
                 if group != stretch:
                     stretch, at = group, int(starts[group])
-                ids = np.frombuffer(raw.as_buffer(), wide).astype("<u4").tobytes()
-                size, start = len(ids) // 4, 0
+                buffer, start = raw.as_buffer(), 0
+                ids = np.frombuffer(buffer, f"<u{buffer.size // size}").astype("<u4").tobytes()
                 while start < size:
                     if at < edges[0]:
                         sequence, offset = divmod(at, length)
@@ -214,10 +212,10 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
                         sequence, offset, room = full + k, at - edges[k], edges[k + 1] - at
                     n = min(room, size - start)
                     out.append((doc, start, n, ids[4 * start : 4 * (start + n)], size, sequence, offset))
-                    start, at, held = start + n, at + n, held + 4 * n
-                if held > 8 << 20:
+                    start, at, waiting = start + n, at + n, waiting + 4 * n
+                if waiting > 8 << 20:
                     yield rows(out)
-                    out, held = [], 0
+                    out, waiting = [], 0
             if out:
                 yield rows(out)
 
@@ -227,7 +225,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
 
     dealt = table.mapInArrow(deal, "owner int, stretch long, key long, row long, doc_id long, ids binary, n_tokens long")
     dealt = dealt.repartitionById(count, F.col("owner")).sortWithinPartitions("stretch", "key", "row")
-    return dealt.select("doc_id", "stretch", "ids").mapInArrow(cut, PIECES)
+    return dealt.select("doc_id", "stretch", "ids", "n_tokens").mapInArrow(cut, PIECES)
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

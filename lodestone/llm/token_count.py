@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Memo, chunks, id_and_text
+from lodestone.llm.common import Memo, chunks, held, id_and_text
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -51,7 +50,7 @@ def merges(symbols: str, costs: dict[str, float]) -> int:
 class PieceCounter:
     """Counts pieces as a sentencepiece BPE model does, given identity normalisation and byte fallback."""
 
-    def __init__(self, path: str, memo: int = 300_000) -> None:
+    def __init__(self, path: str, memo: int = 200_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = range(model.get_piece_size())
         plain = [i for i in size if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -78,9 +77,8 @@ class PieceCounter:
         return total
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return held(PieceCounter, path)
 
 
 def count_tokens(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

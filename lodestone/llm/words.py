@@ -19,7 +19,7 @@ def powers(base: np.uint64, size: int, name: str) -> np.ndarray:
         grown = np.full(max(size, 1 << 16), base, np.uint64)
         grown[0] = 1
         held = np.multiply.accumulate(grown)
-        if size <= 8 << 20:  # a single longer text should not stay in memory
+        if size <= 4 << 20:  # a single longer text should not stay in memory
             _powers[name] = held
     return held[:size]
 

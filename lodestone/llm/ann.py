@@ -3,7 +3,8 @@
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every row is indexed
 with its cell and code. Cells are put on shelves of bounded size (a larger cell is dealt to several), and
 each query goes to the shelves of the cells it probes. A shelf ranks its rows by asymmetric distance
-tables and reranks the best of them exactly, so only a few rows a query and shelf are shuffled.
+tables, equal vectors as one, and reranks exactly all whose quantisation error could bring them among the
+best, so only a few rows a query and shelf are shuffled.
 """
 
 from __future__ import annotations
@@ -52,6 +53,11 @@ class Model:
         codes = [nearest(parts[:, m], book) for m, book in enumerate(self.books)]
         return cells, np.stack(codes, axis=1).astype(np.uint8)
 
+    def errors(self, points: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each point is from what its cell and code stand for."""
+        kept = self.books[np.arange(len(self.books)), codes]
+        return np.sqrt(((self.split(points - self.centres[cells]) - kept) ** 2).sum(axis=(1, 2)))
+
     def split(self, points: np.ndarray) -> np.ndarray:
         pad = -points.shape[1] % SUBSPACE
         return np.pad(points, ((0, 0), (0, pad))).reshape(len(points), -1, SUBSPACE)
@@ -61,6 +67,7 @@ def fit(sample: np.ndarray, cells: int, target: float, k: int, seed: int) -> Mod
     """Centroids, codebooks, and as many probes as `target` of the k nearest need within the sample itself."""
     rng = np.random.default_rng(seed)
     centres = kmeans(sample, cells, rng)
+    centres = centres[np.sort(np.unique(centres, axis=0, return_index=True)[1])]  # copies in the sample start as equal centres
     owner = nearest(sample, centres)
     model = Model(centres, np.zeros((0, 0, 0)), 0)
     books = np.stack([kmeans(part, CODES, rng, 6) for part in model.split(sample - centres[owner]).transpose(1, 0, 2)])
@@ -93,7 +100,9 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
 
     The index is fitted on about `sample_rows` rows, chosen by a hash; all rows are indexed. The number
     of probed cells is what `target` of the neighbours need within the sample, and more cells are probed
-    until they hold enough rows for k. The scores are exact, in double precision. Vectors that are null,
+    until they hold enough rows for k; cells as near as the last are probed too. Within the probed cells
+    the answer is exact: `shortlist` vectors a shelf set the cut, and every other one that its quantised
+    score and error do not put below it is reranked. The scores are exact, in double precision. Vectors that are null,
     zero, of another length than most, or that hold null or non-finite components take no part, nor do
     rows without an id. A row is never its own neighbour, nor is another row of its id. Ties go to the
     smaller id. Repeated rows are candidates each, but one query. Empty tables give no row.
@@ -132,13 +141,16 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
     def route(batches):
         for batch in batches:
             points = matrix(batch.column("vector"))
-            order = np.argsort(-(points @ model.centres.T), axis=1, kind="stable")
+            scores = points @ model.centres.T
+            order = np.argsort(-scores, axis=1, kind="stable")
+            slack = 1e-9 * np.sqrt((points**2).sum(axis=1)) * np.sqrt((model.centres**2).sum(axis=1).max())
             reach = np.cumsum(counts[order], axis=1)
             out = []
             for i, doc in enumerate(batch.column("vec_id").to_pylist()):
                 enough = int(np.searchsorted(reach[i], min(total, 4 * k + 1))) + 1
+                last = scores[i, order[i, min(len(counts), max(model.probes, enough)) - 1]]
                 wanted: dict[int, list[int]] = {}
-                for cell in order[i, : max(model.probes, enough)].tolist():
+                for cell in order[i, : np.count_nonzero(~(scores[i] < last - slack[i]))].tolist():
                     for s in range(first[cell], first[cell] + parts[cell]):
                         wanted.setdefault(int(s), []).append(cell)
                 out += [(i, doc, s, cells) for s, cells in wanted.items()]
@@ -167,24 +179,49 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             left = left.combine_chunks()
-            ids, cells = left.column("vec_id").to_numpy(), left.column("cell").to_numpy()
-            exact = matrix(left.column("vector").combine_chunks())
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+            left = left.sort_by("vec_id")
+            ids, exact = left.column("vec_id").to_numpy(), matrix(left.column("vector").combine_chunks()) + 0.0  # no -0
+            keys = np.column_stack([exact, left.column("cell").to_numpy()])
+            _, at, group = np.unique(keys.view(f"V{keys.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+            exact, cells = exact[at], left.column("cell").to_numpy()[at]  # of each distinct vector
+            members, copies = np.argsort(group, kind="stable"), np.bincount(group)
+            begin = np.cumsum(copies) - copies
+            codes = np.frombuffer(b"".join(left.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.int64)
+            errors = model.errors(exact, cells, codes)
+            reach = np.sqrt((exact**2).sum(axis=1).max()) + np.sqrt((model.centres**2).sum(axis=1).max()) + errors.max()
             codes += np.arange(codes.shape[1]) * model.books.shape[1]
             queries = matrix(right.column("query").combine_chunks())
-            tables = np.einsum("qmd,mcd->qmc", model.split(queries), model.books).reshape(len(queries), -1).astype(np.float32)
-            coarse = queries @ model.centres.T
+            parts, coarse = model.split(queries), queries @ model.centres.T
             for i, (query, probed) in enumerate(zip(right.column("query_id").to_pylist(), right.column("cells").to_pylist(), strict=True)):
                 chosen = np.zeros(len(model.centres), bool)
                 chosen[probed] = True
-                at = np.flatnonzero(chosen[cells] & (ids != query))
+                own = group[np.searchsorted(ids, query) : np.searchsorted(ids, query, "right")]
+                sizes = copies - np.bincount(own, minlength=len(copies))
+                score = lambda g: (exact[g] * queries[i]).sum(axis=1)  # noqa: B023, E731 - equal vectors give equal bits, so ties are ties
+                at = np.flatnonzero(chosen[cells] & (sizes > 0))
                 if len(at) > shortlist:
-                    near = coarse[i, cells[at]] + tables[i][codes[at]].sum(axis=1)
-                    at = at[np.argpartition(-near, shortlist - 1)[:shortlist]]
-                scores = (exact[at] * queries[i]).sum(axis=1)  # equal vectors give equal bits, so ties are ties
-                best = np.lexsort((ids[at], -scores))[:k]
+                    table = np.einsum("md,mcd->mc", parts[i], model.books).ravel()
+                    near = coarse[i, cells[at]] + table[codes[at]].sum(axis=1)
+                    best = np.argpartition(-near, shortlist - 1)[:shortlist]
+                    found = score(at[best])
+                    falling = np.argsort(-found)
+                    enough = np.searchsorted(np.cumsum(sizes[at[best]][falling]), k)
+                    cut = found[falling[enough]] if enough < len(best) else -np.inf
+                    length = np.sqrt((queries[i] ** 2).sum())
+                    at = at[~(near + length * (errors[at] + 1e-9 * reach) < cut)]
+                scores = score(at)
+                falling = np.argsort(-scores)
+                enough = np.searchsorted(np.cumsum(sizes[at][falling]), k)
+                if enough < len(at):
+                    keep = scores >= scores[falling[enough]]
+                    at, scores = at[keep], scores[keep]
+                rows = np.concatenate([members[begin[g] : begin[g] + copies[g]] for g in at.tolist()] or [np.zeros(0, np.int64)])
+                scores = np.repeat(scores, copies[at])
+                other = ids[rows] != query
+                rows, scores = rows[other], scores[other]
+                best = np.lexsort((ids[rows], -scores))[:k]
                 out["query_id"].append(np.full(len(best), query, np.int64))
-                out["vec_id"].append(ids[at][best])
+                out["vec_id"].append(ids[rows][best])
                 out["score"].append(scores[best])
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pa.table({name: np.concatenate([np.zeros(0, kinds[name]), *x]) for name, x in out.items()})

@@ -147,6 +147,26 @@ def test_neighbours_against_brute_force(spark):
     assert hit / 600 >= 0.9
 
 
+def test_neighbours_among_thousands_of_copies_and_near_copies(spark):
+    """Ties go to the smallest ids, and near-copies that share a code are told apart."""
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((9000, 12))
+    data[rng.permutation(6000)[:3000]] = data[0]
+    data[6000:] = data[1] + 1e-6 * rng.standard_normal((3000, 12))
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    copies = np.flatnonzero((data == data[0]).all(axis=1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    asked = [int(copies[700]), int(copies[3]), 6020, 8000]
+    found = ann.search(df, lambda x: x.isin(asked), k=20, sample_rows=300).collect()
+    got = {q: [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in asked}
+    for q in asked[:2]:
+        assert [i for i, _ in got[q]] == [i for i in copies.tolist() if i != q][:20]
+    for q in asked[2:]:
+        scores = (data * data[q]).sum(axis=1)
+        best = sorted((i for i in range(len(data)) if i != q), key=lambda i: (-scores[i], i))[:20]
+        assert [i for i, _ in got[q]] == best and [s for _, s in got[q]] == [scores[i] for i in best]
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])], "vec_id long, embedding array<double>")
     found = {}

@@ -115,6 +115,7 @@ sql("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_order
 sql("order_hidden_column", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 10", "SELECT c_name FROM customer ORDER BY c_custkey LIMIT 10")
 sql("order_after_group", "SELECT c_nationkey, COUNT(*) FROM customer GROUP BY c_nationkey ORDER BY c_nationkey DESC LIMIT 7", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY c_nationkey DESC LIMIT 7", "c_nationkey n")
 sql("order_null_first", "SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance LIMIT 3", f"WITH {SPARSE} SELECT c_custkey FROM sparse_customer WHERE c_custkey < 9 ORDER BY balance NULLS FIRST LIMIT 3")
+sql("order_null_first_whole", "WITH b AS (SELECT balance FROM sparse_customer GROUP BY balance) SELECT balance FROM b ORDER BY balance LIMIT 40", f"WITH {SPARSE} SELECT DISTINCT balance FROM sparse_customer ORDER BY balance NULLS FIRST LIMIT 40")
 sql("limit_zero", "SELECT c_name FROM customer LIMIT 0", "SELECT c_name FROM customer LIMIT 0")
 
 # set operations
@@ -123,7 +124,10 @@ for _op in ("union", "intersect", "except"):
         _word = f"{_op} {_all[1:]}".strip().upper()
         _left, _right = "SELECT c_nationkey FROM customer WHERE c_custkey < 200", "SELECT s_nationkey FROM supplier WHERE s_suppkey < 80"
         sql(f"{_op}{_all}", f"{_left} {_word} {_right}", f"{_left} {_word} {_right}")
+        _left, _right = "SELECT c_nationkey FROM customer", "SELECT s_nationkey FROM supplier"
+        sql(f"{_op}{_all}_whole", f"{_left} {_word} {_right}", f"{_left} {_word} {_right}")
 sql("setop_chain", "SELECT n_nationkey FROM nation UNION SELECT s_nationkey FROM supplier INTERSECT SELECT r_regionkey FROM region EXCEPT ALL SELECT c_nationkey FROM customer WHERE c_custkey < 3", "((SELECT n_nationkey FROM nation UNION SELECT s_nationkey FROM supplier) INTERSECT SELECT r_regionkey FROM region) EXCEPT ALL SELECT c_nationkey FROM customer WHERE c_custkey < 3")
+sql("setop_chain_whole", "SELECT n_nationkey FROM nation UNION ALL SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT ALL SELECT r_regionkey FROM region", "((SELECT n_nationkey FROM nation UNION ALL SELECT c_nationkey FROM customer) INTERSECT SELECT s_nationkey FROM supplier) EXCEPT ALL SELECT r_regionkey FROM region")
 sql("setop_order_limit", "SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region ORDER BY n_nationkey LIMIT 8", "SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region ORDER BY n_nationkey LIMIT 8")
 
 # WITH and derived tables
@@ -132,6 +136,7 @@ sql("cte_inline", f"WITH rich AS ({_RICH}) SELECT c_name FROM rich WHERE c_natio
 sql("cte_not_materialized", f"WITH rich AS NOT MATERIALIZED ({_RICH}) SELECT r.c_name FROM rich r WHERE r.c_nationkey = 3", f"WITH rich AS ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey = 3")
 sql("cte_materialized", f"WITH rich AS MATERIALIZED ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey = 3", f"WITH rich AS MATERIALIZED ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey = 3")
 sql("cte_nested", f"WITH mid AS (WITH deep AS ({_RICH}) SELECT * FROM deep WHERE c_nationkey < 5) SELECT c_name FROM mid WHERE c_custkey < 900", f"WITH rich AS ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey < 5 AND c_custkey < 900")
+sql("cte_nested_whole", f"WITH mid AS (WITH deep AS ({_RICH}) SELECT * FROM deep WHERE c_nationkey < 5) SELECT c_name FROM mid", f"WITH rich AS ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey < 5")
 sql("cte_siblings", f"WITH rich AS ({_RICH}), near AS (SELECT c_custkey, c_name FROM rich WHERE c_nationkey < 5) SELECT c_name FROM near", f"WITH rich AS ({_RICH}) SELECT c_name FROM rich WHERE c_nationkey < 5")
 sql("cte_limit_then_filter", "WITH few AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50) SELECT o_custkey FROM few WHERE o_orderkey > 20", "WITH few AS (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50) SELECT o_custkey FROM few WHERE o_orderkey > 20")
 sql("cte_grouped", "WITH g AS (SELECT c_nationkey, COUNT(*) FROM customer GROUP BY c_nationkey) SELECT COUNT(*) FROM g", "SELECT count(DISTINCT c_nationkey) AS n FROM customer", "n")
@@ -250,10 +255,18 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query("SELECT COUNT(*) FROM O")
 
 
+def altered(spark: SparkSession, sf_dir: str) -> Session:
+    return done(engine(spark, sf_dir), "ALTER TABLE C ADD COLUMN mark INT NOT NULL DEFAULT 7", "ALTER TABLE C RENAME COLUMN mark TO grade", "ALTER TABLE C RENAME COLUMN c_custkey TO id", "ALTER TABLE C DROP COLUMN c_mktsegment", "RENAME TABLE C TO People")
+
+
 @engine_query("alter_table", "SELECT c_custkey AS id, CAST(7 AS BIGINT) AS grade FROM customer WHERE c_custkey < 50")
 def alter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = done(engine(spark, sf_dir), "ALTER TABLE C ADD COLUMN mark INT NOT NULL DEFAULT 7", "ALTER TABLE C RENAME COLUMN mark TO grade", "ALTER TABLE C RENAME COLUMN c_custkey TO id", "ALTER TABLE C DROP COLUMN c_mktsegment", "RENAME TABLE C TO People")
-    return session.query("SELECT id, grade FROM People WHERE id < 50")
+    return altered(spark, sf_dir).query("SELECT id, grade FROM People WHERE id < 50")
+
+
+@engine_query("alter_table_whole", "SELECT c_custkey AS id, CAST(7 AS BIGINT) AS grade FROM customer")
+def alter_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return altered(spark, sf_dir).query("SELECT id, grade FROM People")
 
 
 @engine_query("list_tables", "SELECT * FROM (VALUES ('C'), ('O')) t(\"table\")")

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -62,3 +63,14 @@ def test_registered(spark, name):
     plain = lambda v: round(v, 4) if isinstance(v, float) else v
     got = sorted(repr([plain(v) for v in r]) for r in df.select(*names).collect())
     assert got == sorted(repr([plain(v) for v in r]) for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_whole_queries_read_whole_tables(spark):
+    tables = queries.Tables(spark, SF)
+    left, right = ([r[0] for r in tables[t].select(c).collect()] for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
+    found = {op: queries.QUERIES[f"{op}_whole"](spark, SF).collect() for op in ("union_all", "intersect_all", "except_all", "alter_table")}
+    assert Counter(r[0] for r in found["union_all"]) == Counter(left) + Counter(right)
+    assert Counter(r[0] for r in found["intersect_all"]) == Counter(left) & Counter(right)
+    assert Counter(r[0] for r in found["except_all"]) == Counter(left) - Counter(right)
+    assert len(found["alter_table"]) == len(left)

@@ -88,6 +88,24 @@ def test_sharding_of_one_key(spark):
     assert len(found) == 201 and len(sizes) > 20 and max(sizes.values()) <= 2000
 
 
+def test_sharding_holds_the_limit_within_one_key(spark, tmp_path):
+    """Pages hold the limit itself, sums are those of the page, and what is written has the same shards."""
+    sizes = [600] * 30 + [1500] + [i % 97 for i in range(6000)] + [500, 501, 499, 1000, 1001]
+    rows = [(1, "x" * n) for n in sizes] + [(None, "z" * 400)] * 5 + [(2, "y"), (3, None)]
+    df = docs(spark, rows).repartition(3)
+    found = sharding.write_shards(df, f"file://{tmp_path}/shards", 1000).collect()
+    held = {}
+    for r in found:
+        held.setdefault(r["shard"], []).append(r)
+    assert len(found) == len(rows) and sorted(r["n_bytes"] for r in found if r["doc_id"] == 1) == sorted(sizes)
+    for own in held.values():
+        total = sum(r["n_bytes"] for r in own)
+        assert total <= 1000 or len(own) == 1
+        assert all((r["shard_bytes"], r["shard_docs"]) == (total, len(own)) for r in own)
+    back = spark.read.parquet(f"file://{tmp_path}/shards").groupBy("__shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("docs"))
+    assert {r["__shard"]: (r["n"], r["docs"]) for r in back.collect()} == {k: (own[0]["shard_bytes"], len(own)) for k, own in held.items()}
+
+
 def test_write_shards(spark, tmp_path):
     path = f"file://{tmp_path}/shards"
     df = spark.range(200).selectExpr("id AS doc_id", "repeat('a', 100) AS text")

@@ -2,7 +2,8 @@
 
 All rolling word k-grams of the documents are hashed and joined with the positions that templates have
 them at. A hit votes for the diagonal document position - template position; neighbouring diagonals of a
-template merge (words put in or left out), and a span is verified by how much of its template it covers.
+template merge (words put in or left out), and a span is verified by how much of its template it covers
+and by the words that name the license, which related notices lack.
 """
 
 from __future__ import annotations
@@ -33,17 +34,37 @@ NOTICES = [
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("subject to the terms of the mozilla public license", "mpl"),
 ]
-
-
-def template_grams(spark, phrases, notices) -> DataFrame:
-    """gram, template, label, base, place, size: a row for each k-gram of each template; bounded by the templates."""
+#: What tells a notice from related ones: a span holds a k-gram of it with these words. The other notices name nothing.
+NAMING = {
+    "released under the mit license": "mit",
+    "licensed under the apache license version 2 0": "apache",
+    "licensed under cc by nc 4 0": "nc",
+    "licensed under cc by sa 4 0": "sa",
+    "licensed under a creative commons attribution": "attribution",
+    "licensed under the gnu general public license version 3": "gnu general",
+    "under the terms of the gnu lesser general public license": "lesser",
+    "subject to the terms of the mozilla public license": "mozilla",
+}
+
+
+def naming_places(text: str, naming: dict[str, str]) -> int:
+    """The places of k-grams with the words that name a notice, a bit each."""
+    words, name = text.split(), naming.get(text)
+    return sum(1 << i for i in range(len(words) - K + 1) if name and f" {name} " in f" {' '.join(words[i : i + K])} ")
+
+
+def template_grams(spark, phrases, notices, naming) -> DataFrame:
+    """gram, template, label, base, place, size, names: a row for each k-gram of each template; bounded by the templates."""
     rows = []
     for number, (text, label, base) in enumerate([(*x, True) for x in phrases] + [(*x, False) for x in notices]):
         grams = windows(phrase(text), K).astype(np.int64).tolist()
         if not 1 <= len(grams) <= 62:
             raise ValueError(f"a template has {K} to {61 + K} words: {text!r}")
-        rows += [(gram, number, label, base, place, len(grams)) for place, gram in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, template int, label string, base boolean, place int, size int")
+        names = naming_places(text, naming)
+        if text in naming and not base and not names:
+            raise ValueError(f"no {K} words of {text!r} hold {naming[text]!r}")
+        rows += [(gram, number, label, base, place, len(grams), names) for place, gram in enumerate(grams)]
+    return spark.createDataFrame(rows, "gram long, template int, label string, base boolean, place int, size int, names long")
 
 
 def document_grams(df: DataFrame) -> DataFrame:
@@ -65,19 +86,19 @@ def document_grams(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, row long, n_words long, grams array<long>")
 
 
-def scan_licenses(df: DataFrame, *, phrases=PHRASES, notices=NOTICES, least_cover: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, *, phrases=PHRASES, notices=NOTICES, naming=NAMING, least_cover: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z folded. A base
     phrase counts at each place where it stands whole; a notice labels a document where merged diagonals
-    cover `least_cover` of it. score is the largest cover (1 for a base phrase). spans: label, first and
+    cover `least_cover` of it and hold the words of `naming`, if it has some. score is the largest cover (1 for a base phrase). spans: label, first and
     last word and cover of what was verified. Null and empty texts have no words; repeated rows each give
     a row; an empty table gives none; other columns are not read; texts are read whole.
     """
-    templates = F.broadcast(template_grams(df.sparkSession, phrases, notices))
+    templates = F.broadcast(template_grams(df.sparkSession, phrases, notices, naming))
     grams = document_grams(id_and_text(df, id_col, text_col)).select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("position", "gram"))
     hits = grams.join(templates, "gram", "left").withColumn("diagonal", F.col("position") - F.col("place"))
-    keys = ["doc_id", "row", "n_words", "template", "label", "base", "size"]
+    keys = ["doc_id", "row", "n_words", "template", "label", "base", "size", "names"]
     votes = hits.groupBy(*keys, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("seen"), F.min("position").alias("first"), F.max("position").alias("last"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     # base phrases stand exactly, so their diagonals never merge
@@ -87,7 +108,8 @@ def scan_licenses(df: DataFrame, *, phrases=PHRASES, notices=NOTICES, least_cove
     cover = F.bit_count("seen") / F.col("size")
     whole = F.col("base") & (cover == 1)
     found = spans.withColumn("cover", cover).withColumn("whole", F.coalesce(whole, F.lit(False)))
-    found = found.withColumn("verified", F.col("whole") | (F.coalesce(~F.col("base"), F.lit(False)) & (F.col("cover") >= least_cover)))
+    named = (F.col("names") == 0) | (F.col("seen").bitwiseAND(F.col("names")) != 0)
+    found = found.withColumn("verified", F.col("whole") | (F.coalesce(~F.col("base"), F.lit(False)) & (F.col("cover") >= least_cover) & named))
     span = F.struct("label", F.col("first").cast("long").alias("first_word"), (F.col("last") + K - 1).cast("long").alias("last_word"), "cover")
     names = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(F.col(when), F.col("label")))), ",")
     return found.groupBy("row", "doc_id", "n_words").agg(

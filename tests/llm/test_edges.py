@@ -191,6 +191,24 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(empty(spark)).collect() == []
 
 
+def test_license_scan_confirms_the_name(spark):
+    wanted = [
+        ("under the terms of the GNU General Public License", "gpl", 1.0),
+        ("subject to the terms of the GNU General Public License", "gpl", 1.0),
+        ("licensed under a Creative Commons Zero dedication", "", 0.0),
+        ("under the terms of the GNU Lesser General Public License", "gpl,lgpl", 1.0),
+        ("subject to the terms of the Mozilla Public License", "mpl", 1.0),
+        ("under the terms of the new GNU Lesser General Public License", "gpl,lgpl", 1.0),
+    ]
+    found = by_id(license_scan.scan_licenses(docs(spark, [(i, text) for i, (text, _, _) in enumerate(wanted)])))
+    assert [(found[i]["labels"], found[i]["score"]) for i in range(len(wanted))] == [(labels, score) for _, labels, score in wanted]
+    lesser = by_id(license_scan.scan_licenses(docs(spark, [(1, "licensed under the GNU Lesser General Public License version 3")])))[1]
+    assert [s["label"] for s in lesser["spans"] if s["last_word"] - s["first_word"] > 2] == []
+    assert {s["label"] for s in license_scan.scan_licenses(docs(spark, [(1, text) for text, _ in license_scan.NOTICES[7:8]])).first()["spans"]} == {"gpl", "lgpl"}
+    for text, label in license_scan.NOTICES:
+        assert label in by_id(license_scan.scan_licenses(docs(spark, [(1, text)])))[1]["labels"].split(",")
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_vocabularies_have_a_token_for_each_byte(name):
     vocab = json.load(open(public_tokenizers.path(name)))["model"]["vocab"]

@@ -28,7 +28,7 @@ UNKNOWN = "und"
 def slots() -> np.ndarray:
     """The symbol of each code point: 0 for all but letters, 1 to 26 for a to z, a hashed one for others."""
     table = np.zeros(0x110000, np.int8)
-    for code in [*range(0x30000)]:
+    for code in range(len(table)):
         letter = chr(code)
         if letter.isalpha():
             base = ord(letter.lower()[0])

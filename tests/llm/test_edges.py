@@ -129,6 +129,13 @@ def test_langid(spark):
     assert marked.count() == len(ROWS) and set(docs(spark).columns) < set(marked.columns)
 
 
+def test_langid_knows_letters_of_all_planes(spark):
+    assert all((langid.slots()[code] > 0) == chr(code).isalpha() for code in [*range(0x2FF00, 0x34000), 0x10FFFF])
+    train = spark.createDataFrame([(i, "\U00030000\U00030123\U000313AF" if i % 2 else "der hund und die katze", "zh" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")
+    found = langid.predict(docs(spark, [(1, "\U00030000\U00030123\U000313AF \U00030000")]), langid.fit(train)).first()
+    assert found["lang_pred"] == "zh" and found["score"] > 0
+
+
 def test_exact_dedup(spark):
     found = exact_dedup.exact_dedup(docs(spark)).collect()
     assert len(found) == len(ROWS)

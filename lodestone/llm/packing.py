@@ -4,7 +4,8 @@ Documents are tokenised once into a written table, with a hashed bag-of-tokens v
 three coordinates. The coordinates, standardised over the whole corpus, give a Hilbert key. A histogram
 of tokens by key prefix says at which global token position each stretch of the curve starts, so one
 shuffle brings the documents into curve order and every task cuts its stretch by itself. A stretch with
-more tokens than a partition should hold (a hot group of copies) is split by a hash of the row.
+more tokens than a partition should hold is split on more bits of the key, and by a hash of the row only
+where all keys are equal (a hot group of copies).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from lodestone.llm.bpe import byte_letters, latin
 from lodestone.llm.common import Memo, Scratch, chunks, held, id_and_text
 
 DIMS, BITS, CELL_BITS, HASHED = 3, 16, 15, 256
+#: Bits of the key that a heavy stretch splits on at once.
+STEP_BITS = 11
 PARTITION_BYTES = 64 << 20
 #: The word pattern of the tokenizer whose words are memoised here.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -127,20 +130,43 @@ class Curve:
 
     def __init__(self, means: list[float], spreads: list[float]) -> None:
         self.means, self.spreads = np.array(means), np.array(spreads)
+        self.bits = np.full(1 << CELL_BITS, DIMS * BITS - CELL_BITS)  # of the key that vary within a cell
+        self.begins = np.arange(1 << CELL_BITS) << self.bits  # the least key of each cell
         self.parts = np.ones(1 << CELL_BITS, np.int64)
 
+    def split(self, tokens: dict[tuple[int, int], int], most: int) -> bool:
+        """Split cells with more than `most` tokens, on the key while it has bits left, and drop empty ones; whether there were any."""
+        held = np.array(sorted((cell, n) for (cell, _), n in tokens.items()), np.int64).reshape(-1, 2)
+        begins, bits = self.begins[held[:, 0]], self.bits[held[:, 0]]
+        fewer = np.where(held[:, 1] > most, np.maximum(bits - STEP_BITS, 0), bits)
+        if (fewer == bits).all():
+            return False
+        children = 1 << (bits - fewer)
+        owner = np.repeat(np.arange(len(held)), children)
+        child = np.arange(len(owner)) - np.repeat(np.cumsum(children) - children, children)
+        self.begins, self.bits = begins[owner] + (child << fewer[owner]), fewer[owner]
+        self.parts = np.ones(len(owner), np.int64)
+        return True
+
+    def deal(self, tokens: dict[tuple[int, int], int], most: int) -> bool:
+        """Deal cells that are still heavy, whose keys are all equal, to parts; whether there were any."""
+        heavy = {cell: -(-2 * n // most) for (cell, _), n in tokens.items() if n > most}
+        for cell, n in heavy.items():
+            self.parts[cell] = n
+        return bool(heavy)
+
     def keys(self, batch: pa.RecordBatch) -> np.ndarray:
         at = np.stack([batch.column(f"c{k}").to_numpy(zero_copy_only=False) for k in range(DIMS)], axis=1)
         level = 1 / (1 + np.exp(np.clip(-1.702 * (at - self.means) / self.spreads, -40, 40)))
         return hilbert(np.minimum((level * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
     def stretch(self, batch: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = keys >> (DIMS * BITS - CELL_BITS)
+        cell = np.searchsorted(self.begins, keys, "right") - 1
         rows = mixed(batch.column("row").to_numpy(zero_copy_only=False))
         return cell, (rows % self.parts[cell].astype(np.uint64)).astype(np.int64)
 
     def histogram(self, table: DataFrame) -> dict[tuple[int, int], int]:
-        """Tokens by stretch; at most one entry a cell, and the parts of heavy cells."""
+        """Tokens by stretch; at most one entry a cell or part that has rows."""
 
         def run(batches):
             for batch in batches:
@@ -162,7 +188,8 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     doc_tokens, sequence_id, offset. Each document is its ids followed by `end_id`; null and empty texts
     are that id alone. Every sequence is full but the last ones, which are powers of two and so need no
     padding. Repeated rows are packed each; ties of the key go by row; other columns are not read; an
-    empty table gives no piece. What the driver collects is bounded by 2^15 cells and the partitions.
+    empty table gives no piece. What the driver collects is bounded by 2^15 cells and, for each partition,
+    the 2^11 that a heavy one splits into at a time.
     """
     spark = df.sparkSession
     table = Scratch(spark, "pack").write(tokenised(id_and_text(df, id_col, text_col), tokenizer_path, end_id, seed), "tokens")
@@ -172,9 +199,9 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 4 // PARTITION_BYTES))
     most = max(1, total // count)
     tokens = curve.histogram(table)
-    if heavy := {cell: -(-2 * n // most) for (cell, _), n in tokens.items() if n > most}:
-        for cell, n in heavy.items():
-            curve.parts[cell] = n
+    while curve.split(tokens, most):
+        tokens = curve.histogram(table)
+    if curve.deal(tokens, most):
         tokens = curve.histogram(table)
     order = sorted(tokens)
     numbers = np.array([cell << 32 | part for cell, part in order], np.int64)

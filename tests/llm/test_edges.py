@@ -42,6 +42,26 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS).collect() == []
 
 
+def test_packing_keeps_the_curve_in_a_heavy_cell(spark):
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
+    base = " ".join(words * 40)
+    rows = [(i, base if i % 4 == 0 else f"{base} {words[i % 28]} {words[i // 28 % 28]}") for i in range(120)]
+    rows += [(1000 + i, f"{words[i % 28]} {i} {words[i * 5 % 28]} !?" * (1 + i % 5)) for i in range(100)]
+    df = docs(spark, rows)
+    table = packing.tokenised(df.select("doc_id", "text"), WORDS, 1, 7).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    at = [table.column(f"c{k}").to_numpy() for k in range(packing.DIMS)]
+    keys = packing.Curve([x.mean() for x in at], [x.std() for x in at]).keys(table)
+    cells, tokens = {}, table.column("n_tokens").to_pylist()
+    for key, n in zip(keys.tolist(), tokens, strict=True):
+        cells.setdefault(key >> 33, {}).setdefault(key, []).append(n)
+    heavy = max(cells.values(), key=lambda own: sum(map(sum, own.values())))
+    assert sum(map(sum, heavy.values())) > sum(tokens) / 4 and len(heavy) > 20
+    key_of = dict(zip(table.column("doc_id").to_pylist(), keys.tolist(), strict=True))
+    pieces = sorted(packing.pack(df, WORDS, length=256).collect(), key=lambda p: (p["sequence_id"], p["offset"]))
+    order = [key_of[p["doc_id"]] for p in pieces]
+    assert order == sorted(order) and sum(p["length"] for p in pieces) == sum(tokens)
+
+
 def test_bpe(spark):
     coded = bpe.decode_documents(bpe.encode_documents(docs(spark), BYTES), BYTES).collect()
     assert sorted(map(repr, coded)) == sorted(map(repr, bpe.round_trip(docs(spark), BYTES).collect()))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, bpe, exact_dedup, langid, license_scan, line_dedup, near_dedup, packing, sharding, token_count
+from lodestone.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.write_shards(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'written').path}/shards", SHARD_BYTES)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

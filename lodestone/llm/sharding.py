@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import extendible
-from lodestone.llm.common import Scratch, clear_prefix
+from lodestone.llm.common import Scratch
 
 #: Bits of the row number within a block; what one task of `paged` adds up for a key is a row a block.
 BLOCK_BITS = 12
@@ -70,14 +70,23 @@ def assign_shards(df: DataFrame, limit: int, *, id_col: str = "doc_id", text_col
 
 
 def write_shards(df: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the documents, a folder for each shard (`__shard`), and return the assignment, a row a document."""
-    scratch, row = Scratch(df.sparkSession, "shards"), clear_prefix(df) + "row"
-    rows = scratch.write(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    sizes = rows.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("n_bytes"), F.col(row).alias("row"))
-    assigned = scratch.write(assign_rows(sizes, limit, scratch), "assigned")
-    shard = assigned.select(F.col("row").alias(row), F.col("shard").alias("__shard"))
-    rows.join(shard, row).drop(row).repartition("__shard").write.partitionBy("__shard").parquet(path)
-    return assigned.drop("row")
+    """Write the documents, a folder for each shard (`__shard`), and return the assignment as read from what was written."""
+    scratch = Scratch(df.sparkSession, "shards")
+    rows = df.select(F.struct("*").alias("document"), size_of(text_col).alias("n_bytes"), key_of(F.col(id_col)).alias("key"))
+    directory = extendible.build(scratch.write(rows.select("key", F.col("n_bytes").alias("weight")), "keyed"), limit, scratch)
+    placed = extendible.place(rows, directory)
+    names = ["document", "depth", "prefix"]
+    found = placed.where(F.col("pages") == 1).select(*names, F.lit(None).cast("long").alias("page"))
+    if not directory.where(F.col("pages") > 1).isEmpty():
+        over = scratch.write(placed.where(F.col("pages") > 1).withColumn("row", F.monotonically_increasing_id()), "over")
+        found = found.unionByName(over.join(paged(over.drop("document"), limit).select("row", "page"), "row").select(*names, "page"))
+    found = found.select("document.*", F.concat_ws("-", "depth", "prefix", "page").alias("__shard"))
+    found.repartition("__shard").write.partitionBy("__shard").parquet(path)
+    written = df.sparkSession.read.schema(found.schema).parquet(path)
+    written = written.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("n_bytes"), F.col("__shard").alias("shard"))
+    sums = written.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+    depth = F.substring_index("shard", "-", 1).cast("int").alias("shard_depth")
+    return written.join(sums, "shard").select("doc_id", "n_bytes", "shard", depth, "shard_bytes", "shard_docs")
 
 
 #: The same in DuckDB: a shard is the shortest prefix that fits or is one key.

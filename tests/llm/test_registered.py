@@ -60,6 +60,14 @@ def test_packing(spark, documents):
     check_packing(entry.op1_packing(spark, SF).collect(), documents)
 
 
+def test_sharding_is_read_from_written_shards(spark, documents):
+    df = entry.op3_sharding(spark, SF)
+    files = [f for f in df.inputFiles() if "/__shard=" in f]
+    assert files and {f.split("/__shard=")[1].split("/")[0] for f in files} == {r["shard"] for r in df.collect()}
+    back = spark.read.parquet(files[0].split("/__shard=")[0]).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in back} == documents and len(back) == len(documents)
+
+
 def test_bpe(spark, documents):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in entry.op2_bpe(spark, SF).collect():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import string
 import tempfile
@@ -17,17 +20,22 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds unpacked at once.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a worker; a larger row has a batch of its own.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: The white space that the word and line operators know.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+def prepare_workers(spark: SparkSession) -> None:
+    """Bound the batches that Python workers get, and let them import this package from where the driver has it.
 
-    Without it a local session finds the package only if it was started in its folder. On a cluster the
-    package comes to the executors in the usual ways (installed there, or by --py-files); this changes
-    nothing then.
+    Spark bounds a batch by rows alone unless told otherwise, and ten thousand long texts are no small
+    batch. A limit that the session has stays. Without the path a local session finds the package only if
+    it was started in its folder; on a cluster the package comes to the executors in the usual ways
+    (installed there, or by --py-files), and the path changes nothing.
     """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -49,7 +57,7 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        importable(spark)
+        prepare_workers(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count, self.last = 0, ""
@@ -97,20 +105,26 @@ def clear_prefix(df: DataFrame) -> str:
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null text becomes empty."""
-    importable(df.sparkSession)
+    prepare_workers(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 _held: list = [None, None]
 
 
-def held(make, *key):
-    """A heavy object of this process: made when first asked for, and let go when another one is.
+def let_go() -> None:
+    """Drop what held() has made. Workers serve stage after stage; those that need no heavy object begin with this."""
+    if _held[0] is not None:
+        _held[:] = [None, None]
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
-    Python workers serve stage after stage, so what one stage loads should not stay for the next.
-    """
+
+def held(make, *key):
+    """A heavy object of this process: made when first asked for, and let go when another one is."""
     if _held[0] != (make, key):
-        _held[:] = [None, None]
+        let_go()
         _held[:] = [(make, key), make(*key)]
     return _held[1]
 

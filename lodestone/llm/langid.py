@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import chunks, clear_prefix, held, id_and_text, importable
+from lodestone.llm.common import chunks, clear_prefix, held, id_and_text, prepare_workers
 
 SYMBOLS, SIZE, GROUP = 40, 1024, 48
 GRAMS = SYMBOLS**3
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, *, per_language: int = 4000, seed: int = 11, id_col
     At most about `per_language` rows of each language are used, chosen by a hash of their id: the bound
     of the sample. Every vector counts alike and is rounded, so sums do not depend on their order.
     """
-    importable(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     share = {r["lang"]: per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
     if not share:
@@ -152,7 +152,7 @@ def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> Da
 
     Where columns of `df` begin with `__`, more underscores are put before the added ones (common.clear_prefix).
     """
-    importable(df.sparkSession)
+    prepare_workers(df.sparkSession)
     added = [f"{clear_prefix(df)}{name}" for name in ("lang", "score")]
 
     def run(batches):

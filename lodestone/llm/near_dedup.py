@@ -2,10 +2,11 @@
 
 A text's shingles (five words) are hashed once; the smallest hash in each bin is its sketch, and an empty
 bin takes the value of a filled one, found in the bin's own random order (optimal densification). Bands
-of sketch values are bucket keys. Texts with equal sets are one class from then on. In each bucket
-candidates are a star from a hub, so their number is linear; classes in buckets that still span several
-components afterwards are compared across these. All links are confirmed on full sets, made from the
-texts again, and components come from alternating star contractions.
+of sketch values are bucket keys, and so are the first shingles, by hash, of small sets. Texts with equal
+sets are one class from then on. In each bucket candidates are a star from a hub, and a few more stars
+from hubs among what is not linked to one, so their number is linear; what is still apart in a bucket is
+compared by the rarest shingles. All links are confirmed on full sets, and components come from
+alternating star contractions.
 """
 
 from __future__ import annotations
@@ -17,15 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Memo, Scratch, chunks, id_and_text
+from lodestone.llm.common import Scratch, chunks, id_and_text, let_go
 from lodestone.llm.words import SPACED, mix, windows, word_hashes
 
 WORDS, BANDS, ROWS = 5, 45, 5
+BINS = BANDS * ROWS
+#: Sets of at most so many shingles are certain to meet all that they can be linked to.
+SMALL = 20
+#: Stars of a bucket, each from a hub among what the ones before it have not linked.
+STARS = 3
 #: A shingle is common in a hub's stars if more members hold it.
 COMMON = 8
-#: Counters of a sketch, and rows of the two sides of a block.
-COUNTERS, BLOCK_MEMBERS, BLOCK_SEEKERS = 1024, 2048, 512
-BINS = BANDS * ROWS
+#: Counters of a sketch; least and most rows of the two sides of a block.
+COUNTERS, BLOCK_MEMBERS, BLOCK_SEEKERS = 1024, (2048, 8192), (512, 2048)
+#: How many pairs a block tests in the time in which a join makes one.
+TESTS_A_PAIR = 16
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -48,6 +55,18 @@ def search_order() -> np.ndarray:
     return np.stack([rng.permutation(BINS) for _ in range(BINS)]).astype(np.int16)
 
 
+def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set's buckets, from sorted hashes: the bands of its sketch, and if it is small what a linked set must share one of.
+
+    A linked set has `percent` of the larger one's shingles in common, so of all but percent - 1 of both,
+    in one order, the first of those stands in both.
+    """
+    bands, least = band_keys(shingles), -(-percent * len(shingles) // 100)
+    if len(shingles) * percent > 100 * SMALL:
+        return bands
+    return np.concatenate([bands, mix(shingles[: len(shingles) - least + 1] ^ np.uint64(0x5851F42D4C957F2D))])
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One bucket key a band, from sorted hashes: the bin is the hash's high part, so a bin's first is its smallest."""
     bins = ((shingles >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
@@ -67,39 +86,49 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return total
 
 
-def signatures(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (a 128-bit hash of the set), bands."""
+def set_lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for x in sets)])))
+
+
+def signatures(df: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, k1 and k2 (a 128-bit hash of the set), buckets (keys)."""
 
     def run(batches):
+        let_go()
         salt = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 k1 = np.array([np.add.reduce(mix(s)) for s in sets], np.uint64)
                 k2 = np.array([np.add.reduce(mix(s ^ salt)) for s in sets], np.uint64)
-                bands = [band_keys(s).astype(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                keys = [bucket_keys(s, percent) if len(s) else s for s in sets]
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), set_lists(keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "buckets"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, buckets array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def shingled(df: DataFrame) -> DataFrame:
+    """id, n and the sorted distinct shingles of each text."""
 
     def run(batches):
-        held = Memo(lambda raw: shingle_sets(pa.array([raw]))[0], 64)
+        let_go()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                one, two = held[x], held[y]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), set_lists(sets)], ["id", "n", "shingles"])
 
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return df.mapInArrow(run, "id long, n long, shingles array<long>")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    left, right = (sets.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}")) for i in "ab")
+    possible = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = F.size(F.array_intersect("sa", "sb"))
+    linked = (100 + percent) * met >= percent * (F.col("na") + F.col("nb"))
+    return pairs.join(left, "a").join(right, "b").where(possible & linked).select("a", "b").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -135,79 +164,95 @@ def counters(shingles: np.ndarray) -> bytes:
     return np.bincount((shingles % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype("<u2").tobytes()
 
 
-def sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """`members` (hub, id, root, seeker) with size n, shingles and counters of their texts."""
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                sets = shingle_sets(part.column("text"))
-                ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("hub", "id", "root", "seeker")), pa.array(np.diff(ends)), lists, pa.array([counters(x) for x in sets], pa.binary())], ["hub", "id", "root", "seeker", "n", "shingles", "counters"])
-
-    joined = members.join(texts, "id").select("hub", "id", "root", "seeker", "text")
-    return joined.mapInArrow(run, "hub long, id long, root long, seeker boolean, n long, shingles array<long>, counters binary")
-
-
 def past_the_hub(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of a hub's stars, of different components, that can be linked.
+    """Pairs (a, b) of members (hub, id, root, seeker, n, shingles) of a hub's stars, of different components, that can be linked.
 
     A link needs percent / (100 + percent) of both sizes in common. Of common shingles a pair shares at
     most what the poorer member holds. If that cannot do, the pair shares a rare shingle, and there are at
-    most COMMON members to each of those; else blocks of the hub's members are tried.
+    most COMMON members to each of those. If it can, and they share no rare one, they share a percent of
+    either's shingles among its common ones, so the rarest that they share is one of the first of both.
+    A hub's members are joined on those, or tried in blocks where that is less work.
     """
     items = members.select("hub", "id", "root", "seeker", "n", F.explode("shingles").alias("s"))
     shared = items.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     rare = F.collect_list(F.when(F.col("held") <= COMMON, F.col("s")))
-    known = items.join(shared, ["hub", "s"]).groupBy("hub", "id", "root", "seeker", "n").agg(F.count_if(F.col("held") > COMMON).alias("common"), rare.alias("rare"))
-    known = scratch.write(known, "known")
-    other = known.select("hub", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "common", "rare")))
-    fits = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    need = percent * (F.col("n") + F.col("n2"))
-    held = (100 + percent) * F.least("common", "common2")
-    one = known.where("seeker").withColumn("s", F.explode("rare")).drop("rare", "seeker")
-    two = other.withColumn("s", F.explode("rare2")).drop("rare2")
-    met = one.join(two, ["hub", "s"]).where(fits).groupBy("hub", "id", "id2", "n", "n2", "common", "common2").agg(F.count(F.lit(1)).alias("met"))
-    by_rare = met.where((100 + percent) * F.col("met") >= need - held)
-    by_block = tried_in_blocks(known.drop("rare"), members.select("hub", "id", "counters"), percent)
-    pairs = by_rare.select("id", "id2").unionByName(by_block)
+    common = F.sort_array(F.collect_list(F.when(F.col("held") > COMMON, F.struct("held", "s"))))
+    known = items.join(shared, ["hub", "s"]).groupBy("hub", "id", "root", "seeker", "n").agg(rare.alias("rare"), common.alias("list"))
+    least = F.ceil(F.col("n") * percent / 100)
+    first = F.transform(F.slice("list", F.lit(1), F.greatest(F.size("list") - least + 1, F.lit(0)).cast("int")), lambda x: x["s"])
+    known = scratch.write(known.select("hub", "id", "root", "seeker", "n", "rare", F.size("list").alias("common"), first.alias("first"), least.alias("least")), "known")
+    names = ("id", "root", "n", "common", "least")
+    met = F.count(F.lit(1)).alias("met")
+
+    def meeting(known: DataFrame, column: str) -> DataFrame:
+        """Pairs of a seeker and another member of its hub, by how many values of `column` they share."""
+        one = known.where("seeker").select("hub", *names, F.explode(column).alias("s"))
+        two = known.select("hub", *(F.col(c).alias(f"{c}2") for c in names), F.explode(column).alias("s"))
+        fits = (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        return one.join(two, ["hub", "s"]).where(fits).groupBy("hub", "id", "id2", "n", "n2", "common", "common2", "least", "least2").agg(met)
+
+    need, held = percent * (F.col("n") + F.col("n2")), (100 + percent) * F.least("common", "common2")
+    by_rare = meeting(known, "rare").where((100 + percent) * F.col("met") >= need - held)
+    able = known.where(F.size("first") > 0)
+    joined = able.select("hub", "seeker", F.explode("first").alias("s")).groupBy("hub", "s").agg(F.count(F.lit(1)).alias("m"), F.count_if("seeker").alias("k"))
+    joined = joined.groupBy("hub").agg(F.sum(F.col("m").cast("double") * F.col("k")).alias("join"))
+    sizes = able.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.count_if("seeker").alias("k")).where("k > 0")
+    plans = scratch.write(sizes.join(joined, "hub").withColumn("by_join", F.col("join") * TESTS_A_PAIR < F.col("m").cast("double") * F.col("k")), "plans")
+    by_first = meeting(able.join(plans.where("by_join").select("hub"), "hub", "left_semi"), "first")
+    by_first = by_first.where((held >= need) & ((100 + percent) * (F.col("met") + F.greatest("least", "least2") - 1) >= need))
+    by_block = tried_in_blocks(able.drop("rare", "first"), members, plans.where("NOT by_join"), percent)
+    pairs = by_rare.select("id", "id2").unionByName(by_first.select("id", "id2")).unionByName(by_block)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def tried_in_blocks(known: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, id2) whose common shingles alone could make a link, and whose counters allow one.
+def counted(members: DataFrame) -> DataFrame:
+    """hub, id and the counters of each member: shingles by hash, as uint16. Beyond what those hold, all are full, and the bound says nothing."""
+
+    def counters(shingles: np.ndarray) -> bytes:
+        if len(shingles) > 0xFFFF:
+            return np.full(COUNTERS, 0xFFFF, "<u2").tobytes()
+        return np.bincount(shingles.view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS).astype("<u2").tobytes()
+
+    def run(batches):
+        for batch in batches:
+            found = pa.array([counters(x.values.to_numpy()) for x in batch.column("shingles")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("id"), found], ["hub", "id", "counters"])
+
+    return members.select("hub", "id", "shingles").mapInArrow(run, "hub long, id long, counters binary")
+
+
+def tried_in_blocks(known: DataFrame, members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, id2) of members of `hubs` (hub, m members, k seekers) whose common shingles alone could make a link, and whose counters allow one.
 
     Members and seekers of a hub are dealt to blocks of bounded size, so a hub of any size is spread
     over tasks; a pair leaves its block only if the sum of the lesser counters reaches what a link needs.
     """
-    # the smallest size that can be linked to a seeker must need no more than the seeker's common shingles
-    open_ended = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100))
-    known = known.withColumn("seeks", F.col("seeker") & open_ended)
-    blocks = known.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("rows"), F.ceil(F.count_if("seeks") / BLOCK_SEEKERS).cast("int").alias("columns")).where("columns > 0")
-    known = known.join(sketches, ["hub", "id"]).join(blocks, "hub")
+    count = lambda n, low, high: F.ceil(F.col(n) / F.least(F.greatest(F.col(n) / 64, F.lit(low)), F.lit(high))).cast("int")
+    blocks = hubs.select("hub", count("m", *BLOCK_MEMBERS).alias("rows"), count("k", *BLOCK_SEEKERS).alias("columns"))
+    known = known.join(blocks, "hub").join(counted(members.join(hubs.select("hub"), "hub", "left_semi")), ["hub", "id"])
     part = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = ("hub", "row", "column", "id", "root", "n", "common", "counters")
     left = known.withColumns({"row": part("rows"), "column": every("columns")}).select(*columns)
-    right = known.where("seeks").withColumns({"column": part("columns"), "row": every("rows")}).select(*(F.col(c).alias(f"{c}2") for c in columns))
+    right = known.where("seeker").withColumns({"column": part("columns"), "row": every("rows")}).select(*(F.col(c).alias(f"{c}2") for c in columns))
 
     def matrix(table: pa.Table, mark: str = "") -> tuple:
         plain = [table.column(c + mark).to_numpy() for c in ("id", "root", "n", "common")]
         return *plain, np.frombuffer(b"".join(table.column("counters" + mark).to_pylist()), "<u2").reshape(-1, COUNTERS)
 
     def run(members: pa.Table, seekers: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
+        ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if members.num_rows and seekers.num_rows:
             ids, roots, sizes, commons, sketch = matrix(members)
             for one, root, n, common, own in zip(*matrix(seekers, "2"), strict=True):
                 need = percent * (n + sizes)
                 near = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
                 at = np.flatnonzero(near & (roots != root) & ((100 + percent) * np.minimum(common, commons) >= need))
-                bound = np.minimum(sketch[at], own).sum(axis=1, dtype=np.int64)
-                found += [(int(one), x) for x in ids[at[(100 + percent) * bound >= need[at]]].tolist()]
-        pairs = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(x, pa.int64()) for x in pairs], ["id", "id2"])
+                bound = np.concatenate([np.minimum(sketch[at[k : k + 256]], own).sum(axis=1, dtype=np.int64) for k in range(0, len(at), 256)] or [at])
+                found = ids[at[(100 + percent) * bound >= need[at]]]
+                others.append(found)
+                ones.append(np.full(len(found), one, np.int64))
+        return pa.table([pa.array(np.concatenate(x)) for x in (ones, others)], ["id", "id2"])
 
     return left.groupBy("hub", "row", "column").cogroup(right.groupBy("hub2", "row2", "column2")).applyInArrow(run, "id long, id2 long")
 
@@ -218,32 +263,48 @@ def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", tex
     Words are runs of anything but ASCII white space, A-Z folded. Two documents are linked if 100 *
     intersection >= percent * union of their distinct five-word shingles; a text of fewer words is one
     shingle of them all; one without words, null or empty, has none and links with nothing. Rows that
-    share an id are one node. An empty table gives no row; other columns are not read; texts are read
-    whole. Candidates come from 45 bands of five: a pair at 0.75 shares none with probability 5e-6.
+    share an id are one node; a row without one has the component of the equal texts, if there are any.
+    An empty table gives no row; other columns are not read; texts are read whole. Candidates come from 45 bands of five: a pair at 0.75
+    shares none with probability 5e-6, and none at all if one of the two has at most SMALL shingles.
     """
     scratch = Scratch(df.sparkSession, "near")
     documents = id_and_text(df, id_col, text_col)
-    signed = scratch.write(signatures(documents), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    signed = scratch.write(signatures(documents, percent), "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets"))
     classes = scratch.write(classes, "classes")
-    items = classes.where("id is not null").select("id", F.explode("bands").alias("band"))
-    buckets = items.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
-    members = scratch.write(items.join(buckets, "band"), "members")
+    items = classes.where("id is not null").select("id", F.explode("buckets").alias("bucket"))
+    buckets = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1").select("bucket", "hub")
+    members = scratch.write(items.join(buckets, "bucket"), "members")
     wanted = members.select(F.col("id").alias("__id")).distinct()
-    texts = documents.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    texts = scratch.write(texts, "texts")
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    roots = components(confirm(stars, texts, percent), scratch)
-    # second round: only buckets that still span components, and only pairs across these
+    sets = scratch.write(shingled(documents.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")), "sets")
+    roots, apart = None, members.withColumnRenamed("hub", "star")
+    for _ in range(STARS):
+        stars = apart.where("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
+        links = confirm(stars, sets, percent)
+        if roots is not None:
+            links = scratch.write(links, "links")
+            if links.isEmpty():
+                break
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links, scratch)
+        # what is not linked to its star has another one among itself
+        of_star = roots.select(F.col("node").alias("star"), F.col("root").alias("star_root"))
+        left = apart.select("bucket", "id", "star").join(roots.withColumnRenamed("node", "id"), "id", "left").join(of_star, "star", "left")
+        left = left.withColumn("root", F.coalesce("root", "id")).where(F.col("root") != F.coalesce("star_root", "star"))
+        left = scratch.write(left.select("bucket", "id", "root"), "apart")
+        again = left.groupBy("bucket").agg(F.min(F.struct("id", "root")).alias("one"), F.min("root").alias("low"), F.max("root").alias("high"))
+        again = again.where("low < high").select("bucket", F.col("one.id").alias("star"), F.col("one.root").alias("own"))
+        apart = left.join(again, "bucket").where("id = star OR root <> own").select("bucket", "id", "star")
+    # what buckets still hold apart: only those that span components, and only pairs across these
     label = roots.select(F.col("node").alias("id"), "root")
-    placed = members.join(label, "id", "left").select("band", "id", "hub", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = scratch.write(placed.where("id <> hub").join(mixed, "band", "left_semi").select("hub", "id", "root").distinct(), "rest")
+    placed = members.join(label, "id", "left").select("bucket", "id", "hub", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rest = scratch.write(placed.where("id <> hub").join(mixed, "bucket", "left_semi").select("hub", "id", "root").distinct(), "rest")
     open_hubs = rest.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub")
     of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     rest = rest.join(open_hubs, "hub").join(of_hub, "hub", "left").withColumn("seeker", F.col("root") != F.coalesce("hub_root", "hub"))
-    across = past_the_hub(scratch.write(sets_of(rest, texts), "sets"), percent, scratch)
-    more = scratch.write(confirm(across, texts, percent), "more")
+    across = past_the_hub(scratch.write(rest.join(sets, "id").select("hub", "id", "root", "seeker", "n", "shingles"), "open"), percent, scratch)
+    more = scratch.write(confirm(across, sets, percent), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
     named = classes.select("k1", "k2", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.default_rng(20_011)
-#: A random 64-bit value of each byte.
-BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(base: np.uint64, size: int, name: str) -> np.ndarray:
-    held = _powers.get(name)
-    if held is None or len(held) < size:
-        grown = np.full(max(size, 1 << 16), base, np.uint64)
-        grown[0] = 1
-        held = np.multiply.accumulate(grown)
-        if size <= 4 << 20:  # a single longer text should not stay in memory
-            _powers[name] = held
-    return held[:size]
+BASE, SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: What keeps the first bytes, 0 to 8, of a little-endian block.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -41,26 +32,44 @@ ALPHANUMERIC = byte_classes(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or
 FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def word_hashes(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z folded, and for each text the index of its first word (and the end of all)."""
+def words_of(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, A-Z folded, where each word starts and ends in them, and for each text the index of its first word (and the end of all)."""
     texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     folded = FOLD[raw]
     inside = classes[folded]
     cut = np.zeros(len(raw) + 1, bool)
     cut[at] = True
-    before = np.concatenate([[False], inside[:-1]]) & ~cut[:-1]
-    after = np.concatenate([inside[1:], [False]]) & ~cut[1:]
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[folded] * powers(BASE, len(raw), "base"), dtype=np.uint64)])
-    hashes = (sums[ends + 1] - sums[starts]) * powers(INVERSE, len(raw), "inverse")[starts]
-    hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at)
+    before = np.concatenate([[False], inside[:-1]]) & ~cut[:-1] if len(raw) else inside
+    after = np.concatenate([inside[1:], [False]]) & ~cut[1:] if len(raw) else inside
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return folded, starts, ends, np.searchsorted(starts, at)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: chained over blocks of eight, each round a mixing bijection of the block."""
+    blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    hashes = mix(left.astype(np.uint64) ^ SEED)
+    at, live = starts, np.arange(len(starts))
+    for _ in range(0, LONG_WORD, 8):
+        hashes[live] = mix((hashes[live] ^ (blocks[at] & MASKS[np.minimum(left, 8)])) * BASE)
+        more = left > 8
+        at, left, live = at[more] + 8, left[more] - 8, live[more]
+        if not len(live):
+            return hashes
+    for i in live.tolist():
+        hashes[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
+def word_hashes(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, A-Z folded, and for each text the index of its first word (and the end of all)."""
+    data, starts, ends, first = words_of(texts, classes)
+    return span_hashes(data, starts, ends), first
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -68,8 +77,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     count = max(0, len(hashes) - size + 1)
     total = np.zeros(count, np.uint64)
     for k in range(size):
-        total = total * BASE + hashes[k : k + count]
-    return mix(total)
+        total = mix(total * BASE + hashes[k : k + count])
+    return total
 
 
 def phrase(words: str, classes: np.ndarray = ALPHANUMERIC) -> np.ndarray:

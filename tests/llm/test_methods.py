@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,8 +95,11 @@ def brute_components(texts):
     return {d: (len(sets[d]), root[d], root[d] == d) for d in sets}
 
 
-def test_near_groups_against_brute_force(spark):
-    """Chains, stars, copies, contained texts, and groups where many members miss the hub."""
+@pytest.mark.parametrize("tests_a_pair", [near_dedup.TESTS_A_PAIR, 0, 1e9])
+def test_near_groups_against_brute_force(spark, monkeypatch, tests_a_pair):
+    """Chains, stars, copies, contained texts, and groups where many members miss the hub; past it by joins alone, and by blocks alone."""
+    monkeypatch.setattr(near_dedup, "TESTS_A_PAIR", tests_a_pair)
+    monkeypatch.setattr(near_dedup, "STARS", 1 if tests_a_pair != near_dedup.TESTS_A_PAIR else near_dedup.STARS)
     rng, words = random.Random(4), [f"w{i}" for i in range(5000)]
     texts = []
     for _ in range(6):
@@ -115,14 +120,40 @@ def test_near_groups_against_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_components(texts)
 
 
-def test_sketch_of_small_sets_estimates_similarity():
+def test_past_the_hub_against_brute_force(spark, monkeypatch):
+    """Members that share popular passages, of which none is linked to the hub and some are to each other."""
+    rng = random.Random(9)
+    pool = [[f"p{k}w{i}" for i in range(10)] for k in range(12)]
+    texts = [(i, " ".join(w for k in sorted(rng.sample(range(12), 7)) for w in pool[k]) + f" own{i % 90}") for i in range(160)]
+    wanted = brute_components(texts)
+    assert 5 < len({root for _, root, _ in wanted.values()}) < 155
+    for tests_a_pair in (0, 1e9):
+        monkeypatch.setattr(near_dedup, "TESTS_A_PAIR", tests_a_pair)
+        monkeypatch.setattr(near_dedup, "STARS", 1)
+        found = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == wanted
+
+
+@pytest.mark.parametrize(("common", "one", "two"), [(3, 1, 0), (6, 1, 1), (15, 5, 0), (20, 3, 3), (15, 2, 3)])
+def test_small_sets_always_meet(common, one, two):
+    """At exactly three quarters, or little more, no pair with a set of at most SMALL shingles goes without a shared bucket."""
     rng = np.random.default_rng(1)
-    shared = 0
-    for _ in range(200):
-        pool = np.unique(rng.integers(0, 1 << 63, 9, dtype=np.uint64) * np.uint64(2))
-        a, b = near_dedup.band_keys(pool[:-1]), near_dedup.band_keys(pool[1:])
-        shared += (a == b).any()
-    assert shared >= 198  # 7 of 9 in common
+    for _ in range(1000):
+        pool = rng.integers(0, 1 << 63, common + one + two, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(pool[: common + one]), np.sort(np.concatenate([pool[:common], pool[common + one :]]))
+        assert min(len(a), len(b)) <= near_dedup.SMALL or common == 20
+        assert np.intersect1d(near_dedup.bucket_keys(a, 75), near_dedup.bucket_keys(b, 75)).size
+
+
+def test_words_with_equal_sums_have_own_hashes(spark):
+    """The Thue-Morse word and its complement collide in every polynomial hash modulo 2^64."""
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    assert len(set(word_hashes(pa.array([one, two, one + two, two + one, "x" * 256, "x" * 257]), SPACED)[0].tolist())) == 6
+    texts = [(1, f"{one} one two three four"), (2, f"{two} one two three four"), (3, one), (4, two), (5, f"{one} one two three four")]
+    found = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
 
 
 def test_neighbours_against_brute_force(spark):
@@ -194,6 +225,31 @@ def test_base_phrases_against_brute_force(spark):
         assert labels <= set(r["labels"].split(","))
 
 
+def test_grams_carry_their_words(spark):
+    texts = [(1, "CC-by; All  rights"), (2, ""), (3, "one"), (4, "é 日本 x"), (5, None)]
+    rows = license_scan.document_grams(spark.createDataFrame(texts, "doc_id long, text string").fillna("")).collect()
+    assert {r["doc_id"]: [g["words"] for g in r["grams"]] for r in rows} == {1: ["cc by", "by all", "all rights"], 2: [], 3: [], 4: ["é 日本", "日本 x"], 5: []}
+
+
+def test_long_notices_against_sql(spark):
+    """Notices of any length, with words left out, put in and changed, against the same in DuckDB."""
+    rng, texts = random.Random(3), []
+    for i in range(120):
+        words = rng.choice(license_scan.NOTICES)[0].split()
+        for _ in range(rng.choice([0, 1, 3, len(words) // 8, len(words) // 4])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["other"], ["two", "more"]])
+        texts.append((i, " ".join(["before", *words, "after"]).title() if i % 2 else " - ".join(words)))
+    wanted = duckdb.connect()
+    wanted.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    wanted.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    wanted = wanted.execute(license_scan.oracle())
+    names = [c[0] for c in wanted.description]
+    found = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).select(*names).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted.fetchall())
+    assert {r["labels"] for r in found} > {"", "mit", "apache-2.0", "bsd"} and any(0.75 < r["score"] < 1 for r in found)
+
+
 def test_directory_splits_where_needed_alone(spark):
     """Keys that share 53 bits need many rounds; the rest of the directory stays shallow."""
     from pyspark.sql import functions as F

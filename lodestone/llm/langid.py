@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import chunks, clear_prefix, held, id_and_text, prepare_workers
+from lodestone.llm.common import chunks, clear_prefix, id_and_text, let_go, prepare_workers
 
 SYMBOLS, SIZE, GROUP = 40, 1024, 48
+#: Trigrams whose vectors are made at once.
+BLOCK = 1024
 GRAMS = SYMBOLS**3
 UNKNOWN = "und"
 
@@ -36,12 +38,18 @@ def slots() -> np.ndarray:
     return table
 
 
-def gram_vectors(seed: int) -> np.ndarray:
-    """The bound vector of each trigram of symbols."""
+@lru_cache(maxsize=1)
+def letter_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of symbols at the end of a trigram, and the bound ones of the two before it."""
     letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, SIZE))
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    pairs = (first[:, None] * second[None]).reshape(-1, SIZE)
-    return (pairs[:, None] * letters[None]).reshape(GRAMS, SIZE)
+    return letters, (first[:, None] * second[None]).reshape(-1, SIZE)
+
+
+def gram_vectors(grams: np.ndarray, seed: int) -> np.ndarray:
+    """The bound vectors of some trigrams, from their symbols: a table of all would take 64 MB a worker."""
+    letters, pairs = letter_vectors(seed)
+    return pairs[grams // SYMBOLS] * letters[grams % SYMBOLS]
 
 
 def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -67,14 +75,15 @@ def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def vectors(texts: list[str], seed: int) -> np.ndarray:
     """The bundled vector of each text, of unit length; zero if it has no letters."""
-    table, out = held(gram_vectors, seed), np.zeros((len(texts), SIZE), np.float32)
+    out = np.zeros((len(texts), SIZE), np.float32)
     for k in range(0, len(texts), GROUP):
         found = gram_counts(texts[k : k + GROUP])
         used = np.unique(np.concatenate([at for at, _ in found]))
         dense = np.zeros((len(found), len(used)), np.float32)
         for i, (at, counts) in enumerate(found):
             dense[i, np.searchsorted(used, at)] = counts
-        out[k : k + GROUP] = dense @ table[used].astype(np.float32)
+        for a in range(0, len(used), BLOCK):
+            out[k : k + GROUP] += dense[:, a : a + BLOCK] @ gram_vectors(used[a : a + BLOCK], seed).astype(np.float32)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=out, where=length > 0)
 
@@ -101,6 +110,7 @@ def fit(labelled: DataFrame, *, per_language: int = 4000, seed: int = 11, id_col
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < grains)
 
     def run(batches):
+        let_go()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -139,6 +149,7 @@ def predict(df: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in chunks(batch, "text"):
                 langs, scores = judge(part.column("text").to_pylist(), profiles)
@@ -156,6 +167,7 @@ def annotate(df: DataFrame, profiles: Profiles, *, text_col: str = "text") -> Da
     added = [f"{clear_prefix(df)}{name}" for name in ("lang", "score")]
 
     def run(batches):
+        let_go()
         for batch in batches:
             texts = batch.column(text_col)
             whole = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.compute.fill_null(texts, ""))

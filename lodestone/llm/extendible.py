@@ -49,19 +49,19 @@ def build(keyed: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     return scratch.write(leaves.select(F.col("depth").cast("int").alias("depth"), "prefix", "weight", "entries", pages.cast("int").alias("pages")), "directory")
 
 
-def place(keyed: DataFrame, directory: DataFrame) -> DataFrame:
-    """Adds depth, prefix, weight, entries and pages of its bucket to each row of `keyed` (key).
+def place(keyed: DataFrame, directory: DataFrame, *, broadcast: bool = False) -> DataFrame:
+    """Adds the columns of its bucket to each row of `keyed` (key).
 
     The directory is spread over the cells of its most common depth, or a lesser one with at most about
     eight cells to a bucket, so a row finds its bucket by one equality join; a cell that was split further
-    holds an array of its buckets.
+    holds an array of its buckets. `broadcast` is for directories whose size the caller has checked.
     """
     common = directory.groupBy("depth").count().orderBy(F.desc("count"), "depth").collect()  # a row a depth
     level = min(common[0]["depth"], 3 + math.ceil(math.log2(sum(r["count"] for r in common)))) if common else 0
-    leaf = F.struct("depth", "prefix", "weight", "entries", "pages").alias("leaf")
+    leaf = F.struct(*directory.columns).alias("leaf")
     wide = directory.where(F.col("depth") <= level).select(F.explode(F.expr(f"sequence(shiftleft(prefix, {level} - depth), shiftleft(prefix + 1, {level} - depth) - 1)")).alias("cell"), leaf)
     deep = directory.where(F.col("depth") > level).select(F.expr(f"shiftright(prefix, depth - {level})").alias("cell"), leaf)
     cells = wide.unionByName(deep).groupBy("cell").agg(F.collect_list("leaf").alias("leaves"))
-    joined = keyed.withColumn("cell", prefix(F.col("key"), level)).join(cells, "cell")
+    joined = keyed.withColumn("cell", prefix(F.col("key"), level)).join(F.broadcast(cells) if broadcast else cells, "cell")
     own = F.expr(f"filter(leaves, x -> x.prefix = shiftright(key, {KEY_BITS} - x.depth))[0]")
     return joined.withColumn("leaf", own).select(*(keyed[c] for c in keyed.columns), "leaf.*")

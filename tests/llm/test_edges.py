@@ -170,6 +170,34 @@ def test_exact_dedup_folds_ascii_alone(spark):
     assert {d: r["keep_id"] for d, r in found.items()} == {1: 3, 2: 2, 3: 3}
 
 
+@pytest.mark.parametrize("keys", [1, 3, None])
+def test_exact_dedup_in_chains_and_on_pages(spark, monkeypatch, keys):
+    """Texts that share a hash are told apart by their bytes; a group of copies beyond a bucket has pages."""
+    if keys:
+        monkeypatch.setattr(exact_dedup, "hash_key", lambda text: F.length(text) % keys + (1 << 58))
+    rows = [(i, "Copy " * 40 if i % 3 == 0 else f"text {i % 300}" + "x" * (i % 7)) for i in range(1500)] + [(None, "Copy " * 40), (9000, None), (9001, "")]
+    groups = {}
+    for i, text in rows:
+        groups.setdefault((text or "").lower(), []).append(i)
+    wanted = sorted((i or -1, max(x or -1 for x in own), len(own), i == max(x or -1 for x in own)) for own in groups.values() for i in own)
+    found = exact_dedup.exact_dedup(docs(spark, rows), bucket_bytes=4000).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in found) == wanted
+
+
+def test_exact_dedup_owners_hold_ranges_of_keys(spark):
+    from lodestone.llm import extendible
+    from lodestone.llm.common import Scratch
+
+    scratch = Scratch(spark, "test")
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("folded"))
+    keyed = scratch.write(rows.select(exact_dedup.hash_key(F.col("folded")).alias("key"), F.lit(10).cast("long").alias("weight")), "keyed")
+    directory = exact_dedup.owned(extendible.build(keyed, 1000, scratch), 1000)
+    index = exact_dedup.build_index(rows, directory, 21, scratch).collect()
+    assert len(index) == 700 and sum(r["group_size"] for r in index) == 2000
+    order = sorted(index, key=lambda r: r["key"])
+    assert [r["owner"] for r in order] == sorted(r["owner"] for r in order) and len({r["owner"] for r in order}) > 10
+
+
 def test_near_dedup(spark):
     found = near_dedup.near_groups(docs(spark)).collect()
     assert len(found) == len(ROWS)

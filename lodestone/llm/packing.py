@@ -24,11 +24,13 @@ from tokenizers import Tokenizer
 
 from lodestone.llm.bpe import byte_letters, latin
 from lodestone.llm.common import Memo, Scratch, chunks, held, id_and_text
+from lodestone.llm.words import mix
 
 DIMS, BITS, CELL_BITS, HASHED = 3, 16, 15, 256
-#: Bits of the key that a heavy stretch splits on at once.
-STEP_BITS = 11
-PARTITION_BYTES = 64 << 20
+#: Bits of the key that a heavy stretch splits on at once, fewer where that would make more than so many new cells.
+STEP_BITS, NEW_CELLS = 11, 1 << 20
+#: Bytes of ids in a partition; with more than so many partitions they grow instead, so the table of stretches is bounded.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 1 << 17
 #: The word pattern of the tokenizer whose words are memoised here.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Beyond these characters lower-casing or classes differ between libraries, so the library does it all.
@@ -68,14 +70,6 @@ def encoder(path: str) -> WordEncoder:
     return held(WordEncoder, path)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert keys of integer points (rows) with `bits` bits a coordinate."""
     axes = [points[:, i].astype(np.int64) for i in range(points.shape[1])]
@@ -138,7 +132,9 @@ class Curve:
         """Split cells with more than `most` tokens, on the key while it has bits left, and drop empty ones; whether there were any."""
         held = np.array(sorted((cell, n) for (cell, _), n in tokens.items()), np.int64).reshape(-1, 2)
         begins, bits = self.begins[held[:, 0]], self.bits[held[:, 0]]
-        fewer = np.where(held[:, 1] > most, np.maximum(bits - STEP_BITS, 0), bits)
+        heavy = held[:, 1] > most
+        step = min(STEP_BITS, max(1, int(math.log2(NEW_CELLS / max(1, np.count_nonzero(heavy))))))
+        fewer = np.where(heavy, np.maximum(bits - step, 0), bits)
         if (fewer == bits).all():
             return False
         children = 1 << (bits - fewer)
@@ -162,7 +158,7 @@ class Curve:
 
     def stretch(self, batch: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = np.searchsorted(self.begins, keys, "right") - 1
-        rows = mixed(batch.column("row").to_numpy(zero_copy_only=False))
+        rows = mix(batch.column("row").to_numpy(zero_copy_only=False).astype(np.uint64))
         return cell, (rows % self.parts[cell].astype(np.uint64)).astype(np.int64)
 
     def histogram(self, table: DataFrame) -> dict[tuple[int, int], int]:
@@ -188,15 +184,16 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     doc_tokens, sequence_id, offset. Each document is its ids followed by `end_id`; null and empty texts
     are that id alone. Every sequence is full but the last ones, which are powers of two and so need no
     padding. Repeated rows are packed each; ties of the key go by row; other columns are not read; an
-    empty table gives no piece. What the driver collects is bounded by 2^15 cells and, for each partition,
-    the 2^11 that a heavy one splits into at a time.
+    empty table gives no piece. What the driver collects and broadcasts is a row for each stretch: at most
+    2^15 cells, three a partition, of which there are MOST_PARTITIONS at most, and NEW_CELLS while cells split.
+    Ids are numbers; a null id stays null.
     """
     spark = df.sparkSession
     table = Scratch(spark, "pack").write(tokenised(id_and_text(df, id_col, text_col), tokenizer_path, end_id, seed), "tokens")
     stats = table.agg(F.sum("n_tokens").alias("total"), *(f(f"c{k}").alias(f"{n}{k}") for k in range(DIMS) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     total = stats["total"] or 0
     curve = Curve([stats[f"m{k}"] or 0.0 for k in range(DIMS)], [stats[f"s{k}"] or 1.0 for k in range(DIMS)])
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 4 // PARTITION_BYTES))
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-total * 4 // PARTITION_BYTES)))
     most = max(1, total // count)
     tokens = curve.histogram(table)
     while curve.split(tokens, most):
@@ -206,14 +203,15 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     order = sorted(tokens)
     numbers = np.array([cell << 32 | part for cell, part in order], np.int64)
     starts = np.cumsum([0, *(tokens[x] for x in order)])
-    owners = np.minimum(starts[:-1] // most, count - 1)
+    stretches = spark.sparkContext.broadcast((numbers, starts, np.minimum(starts[:-1] // most, count - 1).astype(np.int32)))
 
     def deal(batches):
+        numbers, _, owners = stretches.value
         for batch in batches:
             keys = curve.keys(batch)
             cell, part = curve.stretch(batch, keys)
             group = np.searchsorted(numbers, cell << 32 | part)
-            columns = [pa.array(owners[group].astype(np.int32)), pa.array(group.astype(np.int64)), pa.array(keys), *(batch.column(x) for x in ("row", "doc_id", "ids", "n_tokens"))]
+            columns = [pa.array(owners[group]), pa.array(group.astype(np.int64)), pa.array(keys), *(batch.column(x) for x in ("row", "doc_id", "ids", "n_tokens"))]
             yield pa.RecordBatch.from_arrays(columns, ["owner", "stretch", "key", "row", "doc_id", "ids", "n_tokens"])
 
     full = total // length
@@ -221,6 +219,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int
     edges = [full * length, *(full * length + sum(rest[: i + 1]) for i in range(len(rest)))]
 
     def cut(batches):
+        starts = stretches.value[1]
         at, stretch = 0, -1
         for batch in batches:
             out: list[tuple] = []

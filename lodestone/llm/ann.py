@@ -2,7 +2,8 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every row is indexed
 with its cell and code. Cells are put on shelves of bounded size (a larger cell is dealt to several), and
-each query goes to the shelves of the cells it probes. A shelf ranks its rows by asymmetric distance
+each query goes to the shelves of the cells it probes. A shelf that more queries ask than a task should
+hold is read by several blocks of them, and one that none asks by no task. A shelf ranks its rows by asymmetric distance
 tables, equal vectors as one, and reranks exactly all whose quantisation error could bring them among the
 best, so only a few rows a query and shelf are shuffled.
 """
@@ -77,7 +78,7 @@ def fit(sample: np.ndarray, cells: int, target: float, k: int, seed: int) -> Mod
     best = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
     rank = np.argsort(np.argsort(-(sample[asked] @ centres.T), axis=1), axis=1)
     needed = np.take_along_axis(rank, owner[best], axis=1).ravel()
-    probes = int(np.quantile(needed, target)) + 1 if needed.size else len(centres)
+    probes = int(np.quantile(needed, target)) + 1 if needed.size and target < 1 else len(centres)
     return Model(centres, books, min(len(centres), probes))
 
 
@@ -95,17 +96,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
-def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, max_cells: int = 4096, target: float = 0.99, shortlist: int = 256, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, max_cells: int = 16_384, target: float = 0.95, shortlist: int = 256, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of largest inner product for each row where `is_query` (a condition on vec_id) holds: query_id, rank, vec_id, score.
 
-    The index is fitted on about `sample_rows` rows, chosen by a hash; all rows are indexed. The number
-    of probed cells is what `target` of the neighbours need within the sample, and more cells are probed
-    until they hold enough rows for k; cells as near as the last are probed too. Within the probed cells
-    the answer is exact: `shortlist` vectors a shelf set the cut, and every other one that its quantised
+    There are as many cells as the root of the rows, `max_cells` at most. The index is fitted on
+    `sample_rows` rows at least and four a cell, chosen by a hash; all rows are indexed. The number of
+    probed cells is what `target` of the neighbours need within the sample, and more cells are probed
+    until they hold enough rows for k; cells as near as the last are probed too. With a target of 1 all
+    cells are probed. Within the probed cells the answer is exact: `shortlist` vectors a shelf set the cut, and every other one that its quantised
     score and error do not put below it is reranked. The scores are exact, in double precision. Vectors that are null,
     zero, of another length than most, or that hold null or non-finite components take no part, nor do
     rows without an id. A row is never its own neighbour, nor is another row of its id. Ties go to the
-    smaller id. Repeated rows are candidates each, but one query. Empty tables give no row.
+    smaller id. Rows that repeat an id are candidates each, but one query, that of the least vector. Empty
+    tables give no row; other columns are not read.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "ann")
     rows = scratch.write(valid_vectors(df, id_col, vector_col), "vectors")
@@ -113,11 +116,13 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
     result = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], result)
-    share = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample_rows / total)) + 1
+    cells = max(1, min(max_cells, round(total**0.5)))
+    wanted = max(sample_rows, 4 * cells)
+    share = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 50)) < int((1 << 50) * min(1.0, 1.05 * wanted / total)) + 1
     taken = lambda chosen: matrix(chosen.orderBy("vec_id", "vector").select("vector").toArrow().column("vector").combine_chunks())
-    sample = taken(rows.where(share))
+    sample = taken(rows.where(share).limit(2 * wanted))  # ids that many rows repeat could make it larger
     sample = sample if len(sample) else taken(rows.limit(1000))
-    model = fit(sample, max(1, min(max_cells, round(total**0.5))), target, k, seed)
+    model = fit(sample, cells, target, k, seed)
 
     def index(batches):
         for batch in batches:
@@ -158,11 +163,11 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
                 at, docs, shelves, cells = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(shelves, pa.int32()), pa.array(cells, pa.list_(pa.int32())), batch.column("vector").take(pa.array(at))], ["query_id", "shelf", "cells", "query"])
 
-    asked = rows.where(is_query(F.col("vec_id")))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    routed = asked.mapInArrow(route, "query_id long, shelf int, cells array<int>, query array<double>")
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    routed = scratch.write(asked.mapInArrow(route, "query_id long, shelf int, cells array<int>, query array<double>"), "routed")
+    blocks = scratch.write(routed.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")), "blocks")
+    scratch.keep("index", "routed", "blocks")
+    routed = routed.join(blocks, "shelf").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
 
     def shelve(batches):
         for batch in batches:
@@ -173,7 +178,7 @@ def search(df: DataFrame, is_query, *, k: int = 20, sample_rows: int = 20_000, m
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shelves.astype(np.int32))], ["vec_id", "vector", "cell", "code", "shelf"])
 
     shelved = indexed.mapInArrow(shelve, "vec_id long, vector array<double>, cell int, code binary, shelf int")
-    shelved = shelved.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shelved = shelved.join(blocks, "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}

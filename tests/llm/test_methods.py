@@ -1,6 +1,7 @@
 """Operators against brute force on random inputs, and the parts of their methods by themselves."""
 
 import itertools
+import os
 import random
 import re
 
@@ -198,6 +199,59 @@ def test_neighbours_among_thousands_of_copies_and_near_copies(spark):
         assert [i for i, _ in got[q]] == best and [s for _, s in got[q]] == [scores[i] for i in best]
 
 
+def brute_recall(data, found, asked, k=20):
+    got, hit = {}, 0
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in asked:
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-scores, kind="stable")[:k].tolist()))
+    return hit / (k * len(asked))
+
+
+def test_clustered_neighbours_need_few_cells(spark):
+    """Recall of 0.9 at least, from a small part of the cells where the data have clusters."""
+    rng = np.random.default_rng(8)
+    data = rng.standard_normal((60, 16))[rng.integers(0, 60, 8000)] + 0.15 * rng.standard_normal((8000, 16))
+    model = ann.fit(data[:4000], 89, 0.95, 20, 3)
+    assert model.probes <= 0.25 * len(model.centres)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = ann.search(df, lambda x: x % 20 == 0, sample_rows=4000).collect()
+    assert brute_recall(data, found, range(0, 8000, 20)) >= 0.9
+
+
+def test_all_cells_probed_is_exact_search(spark, monkeypatch):
+    """With a target of 1, against DuckDB; many small shelves, each read by blocks of few queries; rows that repeat ids and clash in names."""
+    monkeypatch.setattr(ann, "SHELF_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i % 950, rng.integers(-8, 9, 8).astype(float).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.selectExpr("*", *(f"'clash' AS {x}" for x in ("cell", "shelf", "block", "vector", "query_id", "code", "rank")))
+    found = ann.search(df, lambda x: x % 20 == 0, k=20, target=1.0, sample_rows=300)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (vec_id BIGINT, e DOUBLE[])")
+    con.executemany("INSERT INTO v VALUES (?, ?)", rows)
+    want = con.execute("""
+        WITH valid AS (SELECT * FROM v WHERE list_max(list_transform(e, lambda x: abs(x))) > 0),
+        q AS (SELECT vec_id, min(e) AS e FROM valid WHERE vec_id % 20 = 0 GROUP BY vec_id),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM q JOIN valid c ON c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER), vec_id, score FROM r WHERE rank <= 20""").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_recall_on_the_harness_vectors(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    data = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    found = ann.search(df, lambda x: x % 20 == 0).collect()
+    assert brute_recall(data, found, range(0, len(data), 20)) >= 0.9
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])], "vec_id long, embedding array<double>")
     found = {}

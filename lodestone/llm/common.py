@@ -54,26 +54,46 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive the loss of executors."""
+    """Tables written to the shared folder, which cut lineage and survive the loss of executors.
+
+    Lazy results read some of them, so an operator drops those that its result does not need, and the
+    driver's JVM deletes the rest when it ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         prepare_workers(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count, self.last = 0, ""
+        self.count, self.last, self.tables = 0, "", []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         self.last = f"{self.count:03d}-{name}"
         path = f"{self.path}/{self.last}"
         df.write.parquet(path)
+        if not self.tables:
+            folder, files = self.files()
+            files.deleteOnExit(folder)
+        self.tables.append(self.last)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def files(self, name: str = ""):
+        """A table's path, or that of all, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str = "") -> None:
         """Delete one table, by what `last` was after it was written, or all of them."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self.files(name)
+        files.delete(path, True)
+        self.tables = [x for x in self.tables if name and x != name]
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but the last one written under each of these names."""
+        last = {x.partition("-")[2]: x for x in self.tables}
+        for table in self.tables:
+            if table not in {last.get(x) for x in names}:
+                self.drop(table)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -83,7 +103,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose `column` holds about `most` bytes; a longer value has a slice of its own."""
+    """Slices of a batch whose `column` holds about `most` bytes; a longer value has a slice of its own.
+
+    Arrow's pool keeps what it has had for a batch; it is given back after each.
+    """
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start = held = 0
     for i, size in enumerate(sizes.tolist()):
@@ -93,6 +116,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def clear_prefix(df: DataFrame) -> str:

@@ -32,7 +32,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text that a shard holds at most.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 64 << 20
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,7 @@ def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", tex
     more = scratch.write(confirm(across, sets, percent), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+    scratch.keep("signatures", "classes", "edges")
     named = classes.select("k1", "k2", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))
     found = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -12,7 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import entry, langid, line_dedup, near_dedup
+from lodestone.llm import entry, langid, line_dedup, sharding
+from tests.llm.test_methods import brute_components
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -34,6 +35,16 @@ def test_oracles(spark, name):
     assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+@pytest.mark.parametrize("limit", [3000, 60_000])
+def test_sharding_at_small_limits(spark, limit):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(sharding.ORACLE.format(limit=limit))
+    names = [c[0] for c in want.description]
+    found = sharding.assign_shards(spark.read.parquet(f"{SF}/documents.parquet"), limit).select(*names)
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall()) and found.select("shard").distinct().count() > 5
+
+
 def check_packing(pieces, texts):
     encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     per, sequences = {}, {}
@@ -83,11 +94,55 @@ def test_held_out_languages(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in found) >= 0.95 * len(found)
 
 
-def test_pipeline_against_its_stages_by_hand(spark, documents):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    profiles = langid.fit(docs.where(langid.fold() != 1))
-    langs, scores = langid.judge(list(documents.values()), profiles)
-    texts = {d: t for (d, t), lang, s in zip(documents.items(), langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.LEAST_SCORE}
+def brute_languages(rows, fitted):
+    """Language and cosine of each (id, text), by the definition: a loop over letters, vectors bound and added one by one."""
+    letters = np.random.default_rng(11).choice(np.array([-1, 1], np.int8), (langid.SYMBOLS, langid.SIZE)).astype(np.int64)
+    bound = {}
+
+    def vector(text):
+        symbols = [0]
+        for c in text:
+            base = ord(c.lower()[0])
+            symbol = 0 if not c.isalpha() else base - 96 if 97 <= base <= 122 else 27 + base * 2654435761 % 4294967291 % (langid.SYMBOLS - 27)
+            symbols += [symbol] if symbol or symbols[-1] else []
+        symbols += [0] if symbols[-1] else []
+        total = np.zeros(langid.SIZE, np.int64)
+        for gram, n in Counter(zip(symbols, symbols[1:], symbols[2:])).items():  # noqa: B905
+            if gram not in bound:
+                bound[gram] = np.roll(letters[gram[0]], 2) * np.roll(letters[gram[1]], 1) * letters[gram[2]]
+            total += n * bound[gram]
+        length = np.sqrt((total.astype(float) ** 2).sum())
+        return total / length if length else total.astype(float)
+
+    sums = {}
+    for _, text, lang in fitted:
+        sums[lang] = sums.get(lang, 0) + np.rint(1000 * vector(text))
+    found = {}
+    for doc, text in rows:
+        own = vector(text)
+        scores = {lang: own @ total / np.sqrt((total**2).sum()) for lang, total in sums.items()}
+        best = max(sorted(scores), key=lambda lang: scores[lang])
+        found[doc] = (best, min(1, max(0, scores[best]))) if own.any() else ("und", 0.0)
+    return found
+
+
+def labelled(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    return [(r["doc_id"], r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+
+
+def test_languages_against_brute_force(spark, documents):
+    want = brute_languages(documents.items(), labelled(spark))
+    for r in entry.op4_langid(spark, SF).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 2e-3  # prototypes are sums of rounded 32-bit vectors
+
+
+def test_pipeline_against_brute_force(spark, documents):
+    """All four stages again, in plain Python; of the packing, what its contract says."""
+    langs = brute_languages(documents.items(), labelled(spark))
+    assert all(lang == "und" or abs(score - corpus_pipeline.LEAST_SCORE) > 2e-3 for lang, score in langs.values())
+    texts = {d: t for d, t in documents.items() if langs[d][0] != "und" and langs[d][1] >= corpus_pipeline.LEAST_SCORE}
     fold = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(line_dedup.ASCII_SPACE))
     holders = {}
     for d, t in texts.items():
@@ -95,8 +150,7 @@ def test_pipeline_against_its_stages_by_hand(spark, documents):
             holders.setdefault(fold(line), set()).add(d)
     gone = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
     texts = {d: "\n".join(x for x in t.split("\n") if gone.get(fold(x), d) == d) for d, t in texts.items()}
-    groups = near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("kept").collect()
-    texts = {r["doc_id"]: texts[r["doc_id"]] for r in groups}
+    texts = {d: texts[d] for d, (_, _, kept) in brute_components(list(texts.items())).items() if kept}
     pieces = corpus_pipeline.run(spark, SF).collect()
     check_packing(pieces, texts)
-    assert Counter(name for name, _ in corpus_pipeline.STAGES) == Counter(["language", "lines", "near_duplicates", "packing"])
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "packing"]

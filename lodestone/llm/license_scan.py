@@ -21,6 +21,8 @@ from lodestone.llm.words import ALPHANUMERIC, phrase, span_hashes, windows, word
 K = 2
 #: Diagonals as near as this merge.
 GAP = 3
+#: Places of a template that one number holds as bits.
+BITS = 62
 #: Templates are broadcast up to so many k-grams.
 BROADCAST_GRAMS = 100_000
 #: The phrases whose every place counts, and their labels.
@@ -127,15 +129,18 @@ def scan_licenses(df: DataFrame, *, phrases=PHRASES, notices=NOTICES, naming=NAM
     grams = document_grams(id_and_text(df, id_col, text_col)).select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("position", "found"))
     same = (F.col("found.gram") == templates["gram"]) & (F.col("found.words") == templates["words"])
     hits = grams.join(templates, same, "left").withColumn("diagonal", F.col("position") - F.col("place"))
+    # the places seen are bits, BITS of them to a part of the template
+    hits = hits.withColumns({"part": F.floor(F.col("place") / BITS), "seen": F.expr(f"shiftleft(1L, place % {BITS})")})
     keys = ["doc_id", "row", "n_words", "template", "label", "base", "size", "named"]
-    votes = hits.groupBy(*keys, "diagonal").agg(F.collect_set("place").alias("seen"), F.max("names").alias("names"), F.min("position").alias("first"), F.max("position").alias("last"))
+    votes = hits.groupBy(*keys, "diagonal", "part").agg(F.bit_or("seen").alias("seen"), F.max("names").alias("names"), F.min("position").alias("first"), F.max("position").alias("last"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     # base phrases stand exactly, so their diagonals never merge
-    fresh = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP) | F.lag("diagonal").over(order).isNull()
+    fresh = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("base"), 0).otherwise(GAP)
     islands = votes.withColumn("island", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order))
-    seen = F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen")
-    spans = islands.groupBy(*keys, "island").agg(seen, F.max("names").alias("names"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("start"))
-    cover = F.size("seen") / F.col("size")
+    ends = (F.max("names").alias("names"), F.min("first").alias("first"), F.max("last").alias("last"))
+    parts = islands.groupBy(*keys, "island", "part").agg(F.bit_or("seen").alias("seen"), F.min("diagonal").alias("start"), *ends)
+    spans = parts.groupBy(*keys, "island").agg(F.sum(F.bit_count("seen")).alias("seen"), F.min("start").alias("start"), *ends)
+    cover = F.col("seen") / F.col("size")
     whole = F.col("base") & (cover == 1)
     found = spans.withColumn("cover", cover).withColumn("whole", F.coalesce(whole, F.lit(False)))
     notice = ~F.col("base") & (F.col("cover") >= least_cover) & (F.col("names") | ~F.col("named"))

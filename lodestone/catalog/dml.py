@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.schema import ROW_ID, Database, Table
-from lodestone.catalog.store import Access, Store
+from lodestone.catalog.store import FILE, Access, Store
 from lodestone.errors import ConstraintError, EngineError
 from lodestone.functions import algebra, rows
 from lodestone.plans.compiler import row_condition
@@ -18,6 +18,8 @@ from lodestone.sql import ast
 from lodestone.sql.parser import type_of
 
 MAX_ACTION_DEPTH = 64
+#: Hit rows up to which their ids are broadcast to the segments that hold them.
+BROADCAST_HITS = 200_000
 
 
 class Writer:
@@ -28,12 +30,12 @@ class Writer:
 
     def note(self, table: str, df: DataFrame) -> None:
         if self.images:
-            self.access.writes.setdefault(table, []).append(df)
+            self.access.writes.setdefault(table, []).append(df.drop(FILE))
 
     def picked(self, table: Table, where) -> DataFrame:
         tables = lambda name: self.store.rows(self.db.table(name)).drop(ROW_ID)
         self.access.reads.append((table.name, where))
-        return row_condition(where, self.store.rows(table), table.name, tables)
+        return row_condition(where, self.store.located(table), table.name, tables)
 
     # -- INSERT
 
@@ -117,19 +119,20 @@ class Writer:
         if column.unique and command.value is not None:
             self.key_read(table.name, (column.name,), {(command.value,)})
         parents = [(c, k) for c, k in self.db.children(table.name) if column.name in k.parent_columns]
-        self.assign(table, hits, {column.name: command.value})
+        self.assign(table, hits, {column.name: command.value}, count)
         for child, key in parents:
             self.key_changed(child.name, key, column.name, hits, command.value)
         return count
 
-    def assign(self, table: Table, hits: DataFrame, values: dict) -> None:
-        """Set columns of the hit rows to literals, and check the table that results."""
+    def assign(self, table: Table, hits: DataFrame, values: dict, count: int = BROADCAST_HITS + 1) -> None:
+        """Set columns of the `count` hit rows to literals, and check the table that results."""
         literals = {c: F.lit(v).cast(algebra.SPARK_TYPES[table.column(c).type]) for c, v in values.items()}
         images = hits.withColumns(literals)
         for text, predicate in zip(table.checks, table.predicates(), strict=True):
             if not images.where(~F.coalesce(check_column(predicate, table), F.lit(True))).isEmpty():
                 raise ConstraintError(f"CHECK constraint violation: {text}")
         flag = hits.select(ROW_ID, F.lit(True).alias("__hit"))
+        flag = F.broadcast(flag) if count <= BROADCAST_HITS else flag
 
         def change(old: DataFrame) -> DataFrame:
             joined = old.join(flag, ROW_ID, "left")
@@ -164,7 +167,7 @@ class Writer:
         child = self.db.table(child_name)
         still = self.store.rows(self.db.table(key.parent))
         gone = old.select(*key.parent_columns).dropna().join(still.select(*key.parent_columns), list(key.parent_columns), "left_anti")
-        hits = checkpointed(matching_children(self.store.rows(child), key, gone))
+        hits = checkpointed(matching_children(self.store.located(child), key, gone))
         if hits.isEmpty():
             return
         self.note(child_name, hits)
@@ -188,16 +191,16 @@ class Writer:
         hits = checkpointed(self.picked(table, command.where))
         count = hits.count()
         if count:
-            self.remove(table.name, hits)
+            self.remove(table.name, hits, count)
         return count
 
-    def remove(self, name: str, hits: DataFrame) -> None:
-        """Delete rows with all that follows from it: levels of children, until none are left.
+    def remove(self, name: str, hits: DataFrame, count: int) -> None:
+        """Delete `count` rows with all that follows from it: levels of children, until none are left.
 
         A row that one key would null and another deletes is deleted; NO ACTION refuses only if a child
         of the rows that go is left at the end.
         """
-        doomed = {name: hits.select(ROW_ID)}
+        doomed, counts = {name: hits.select(ROW_ID, FILE)}, {name: count}
         nulls: list[tuple[str, ast.ForeignKey, DataFrame]] = []
         checks: list[tuple[str, ast.ForeignKey, DataFrame]] = []
         frontier, depth = {name: hits}, 0
@@ -205,7 +208,7 @@ class Writer:
             following: dict[str, DataFrame] = {}
             for parent, lost in frontier.items():
                 for child, key in self.db.children(parent):
-                    found = matching_children(self.store.rows(child), key, lost.select(*key.parent_columns).dropna().distinct())
+                    found = matching_children(self.store.located(child), key, lost.select(*key.parent_columns).dropna().distinct())
                     if key.on_delete == "SET NULL":
                         nulls.append((child.name, key, found))
                     elif key.on_delete == "NO ACTION":
@@ -220,8 +223,9 @@ class Writer:
                 if not found.isEmpty():
                     if depth >= MAX_ACTION_DEPTH:
                         raise ConstraintError("FOREIGN KEY CASCADE depth exceeded")
-                    ids = found.select(ROW_ID)
+                    ids = found.select(ROW_ID, FILE)
                     doomed[child] = checkpointed(doomed[child].unionByName(ids)) if child in doomed else ids
+                    counts[child] = counts.get(child, 0) + found.count()
                     frontier[child] = found
             depth += 1
         left = lambda child, df: df.join(doomed[child], ROW_ID, "left_anti") if child in doomed else df
@@ -231,10 +235,10 @@ class Writer:
         nulls = [(child, key, checkpointed(left(child, found))) for child, key, found in nulls]
         for child, ids in doomed.items():
             table = self.db.table(child)
-            gone = self.store.rows(table).join(ids, ROW_ID, "left_semi")
-            self.note(child, gone)
-            after = self.store.rewrite(self.db, table, ids, lambda old, ids=ids: old.join(ids, ROW_ID, "left_anti"))
-            self.db = self.db.with_table(replace(after, row_count=table.row_count - ids.distinct().count()))
+            self.note(child, hits if child == name and counts[child] == count else self.store.rows(table).join(ids, ROW_ID, "left_semi"))
+            ids = F.broadcast(ids) if counts[child] <= BROADCAST_HITS else ids
+            after = self.store.rewrite(self.db, table, ids, lambda old, ids=ids: old.join(ids.select(ROW_ID), ROW_ID, "left_anti"))
+            self.db = self.db.with_table(replace(after, row_count=table.row_count - counts[child]))
         for child, key, found in nulls:
             if not found.isEmpty():
                 self.note(child, found)

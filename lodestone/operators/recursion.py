@@ -1,7 +1,8 @@
 """Recursive queries: a driver loop over DataFrames.
 
-A round whose new rows are few keeps them as a local relation, which costs one job and no files; larger
-ones are checkpointed. Either way each round's plan starts afresh.
+A round whose rows are few keeps them as a local relation, and tells new ones from seen ones on the driver,
+so it is one query without a shuffle of its own. From the first round that is larger on, rows are told
+apart by joins and checkpointed. Either way each round's plan starts afresh.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lodestone.errors import EngineError
@@ -45,6 +47,20 @@ def new_rows(step: DataFrame, seen: DataFrame, keep_all: bool) -> DataFrame:
     return relational.anti_join(step.distinct(), seen, [(c, c) for c in step.columns]) if step.columns else step
 
 
+def keys(table: pa.Table) -> list[tuple]:
+    """The rows as values that are equal where Spark's are: NULL to NULL, and NaN to NaN."""
+    columns = [["NaN" if x != x else x for x in column.to_pylist()] for column in table.columns]
+    return list(zip(*columns, strict=True)) if columns else [()] * table.num_rows
+
+
+def plain_zeros(table: pa.Table) -> pa.Table:
+    """-0.0 as 0.0, which it is when Spark tells rows apart."""
+    for i, f in enumerate(table.schema):
+        if pa.types.is_floating(f.type):
+            table = table.set_column(i, f, pc.add(table.column(i), pa.scalar(0.0, f.type)))
+    return table
+
+
 @dataclass(frozen=True)
 class Held:
     """Rows cut from their lineage: local if few, else in the checkpoint folder."""
@@ -54,11 +70,27 @@ class Held:
     local: pa.Table | None
 
     @staticmethod
-    def of(df: DataFrame) -> Held:
-        table = df.limit(LOCAL_ROWS + 1).toArrow()
-        if table.num_rows <= LOCAL_ROWS:
-            return Held.at(df, table)
-        kept = checkpointed(df)
+    def of(df: DataFrame, distinct: bool) -> Held:
+        """The rows of `df`, or its distinct ones."""
+        return Held.beyond(df, None, distinct)
+
+    @staticmethod
+    def beyond(step: DataFrame, seen: Held | None, distinct: bool, large: bool = False) -> Held:
+        """What `step` adds to `seen`. `large` tells that it will hardly be local, so that it is computed once."""
+        if not large and (seen is None or not distinct or seen.local is not None):
+            table = step.limit(LOCAL_ROWS + 1).toArrow()
+            if table.num_rows <= LOCAL_ROWS:
+                if distinct:
+                    table = plain_zeros(table)
+                    known, fresh = set(keys(seen.local)) if seen else set(), []
+                    for i, key in enumerate(keys(table)):
+                        if key not in known:
+                            known.add(key)
+                            fresh.append(i)
+                    table = table.take(pa.array(fresh, pa.int64()))
+                return Held.at(step, table)
+        rows = step.distinct() if seen is None and distinct else step if seen is None else new_rows(step, seen.df, not distinct)
+        kept = checkpointed(rows)
         return Held(kept, kept.count(), None)
 
     @staticmethod
@@ -77,14 +109,14 @@ class Held:
 def run(members: list[Member], limits: Limits) -> dict[str, DataFrame]:
     """Evaluates a group in lockstep until no member has new rows. Each name means the rows of the last
     round, or all rows so far for an accumulator. The caps are checked before rows are added."""
-    total = {m.name: Held.of(m.anchor if m.keep_all else m.anchor.distinct()) for m in members}
+    total = {m.name: Held.of(m.anchor, not m.keep_all) for m in members}
     delta, rounds = dict(total), 0
     while any(d.size for d in delta.values()):
         if rounds >= limits.iterations:
             raise EngineError("WITH RECURSIVE exceeded maximum iteration count")
         rounds += 1
         bound = {m.name: (total if m.accumulator else delta)[m.name].df for m in members}
-        delta = {m.name: Held.of(new_rows(m.arm(bound), total[m.name].df, m.keep_all)) for m in members}
+        delta = {m.name: Held.beyond(m.arm(bound), total[m.name], not m.keep_all, large=delta[m.name].local is None) for m in members}
         if sum(d.size for d in (*total.values(), *delta.values())) > limits.rows:
             raise EngineError("WITH RECURSIVE exceeded maximum row count")
         total = {name: held.plus(delta[name]) for name, held in total.items()}

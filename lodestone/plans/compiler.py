@@ -91,7 +91,7 @@ def with_ctes(ctes: tuple, env: Environment, domain: Frame | None) -> Environmen
             continue
         output = compile_select(cte.select, env, domain_for(cte.select, env, domain))
         binding = output.binding(cte.name)
-        if cte.materialized:
+        if cte.materialized and not env.planning:
             binding.df = checkpointed(binding.df)
         env.notes.append(f"{'materialized' if cte.materialized else 'inlined'} CTE {cte.name}{' (set operation)' if cte.select.set_ops else ''}")
         env = env.bind(binding)
@@ -136,6 +136,10 @@ def recursive(group: list[ast.Cte], env: Environment, domain: Frame | None) -> d
         types = [f.dataType for f in anchors[cte.name].schema.fields]
         return out.toDF(*names).select(*(F.col(n).cast(t) for n, t in zip(names, types, strict=True)))
 
+    if env.planning:
+        for cte in group:
+            step(cte, anchors)
+        return anchors
     members = [recursion.Member(c.name, anchors[c.name], lambda bound, c=c: step(c, bound), c.arm.all, c.accumulator) for c in group]
     return recursion.run(members, env.limits or recursion.Limits())
 

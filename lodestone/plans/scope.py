@@ -91,6 +91,8 @@ class Environment:
     level: int = 0
     limits: object = None
     notes: list = field(default_factory=list)
+    #: Names and types are all that is wanted: nothing is written, and recursion does not run beyond its anchor.
+    planning: bool = False
 
     def bind(self, binding: Binding) -> Environment:
         return replace(self, bindings={**self.bindings, binding.name.lower(): binding})

@@ -23,6 +23,10 @@ class Files:
         fs, p = self._at(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getLen()
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -1,34 +1,33 @@
-"""Helpers of the engine's tests: fixtures as DataFrames, and answers as plain rows."""
+"""Helpers of the engine's tests: a small harbour as DataFrames, and answers as plain rows."""
 
 from lodestone.errors import EngineError
 from lodestone.session import Session
 
-FIXTURES = {
-    "Employees": ("id long, name string, salary double, dept_id long", [(1, "Alice", 120000.0, 10), (2, "Bob", 90000.0, 99), (3, "Cara", 110000.0, 10)]),
-    "Departments": ("id long, dept string", [(10, "Eng"), (20, "Sales")]),
-    "Bonuses": ("emp_id long, amount double", [(1, 500.0), (1, 1500.0), (2, 100.0)]),
-    "Assignments": ("emp_id long, dept long", [(1, 10), (2, 99)]),
-    "Notes": ("id long, name string, note string", [(1, "Alice", "hello world"), (2, "Bob", "goodbye"), (3, "Alicia", "say hello")]),
-    "Nicks": ("id long, nickname string", [(1, "Al"), (2, None), (3, "Bob")]),
-    "L": ("id long, key long, label string", [(1, None, "Lnull"), (2, 5, "L5")]),
-    "R": ("id long, key long, label string", [(10, None, "Rnull"), (20, 5, "R5")]),
-    "Scores": ("id long, name string, score long", [(1, "Alice", 10), (2, "Bob", 1)]),
-    "Thresholds": ("id long, min_score long", [(1, 5)]),
-    "Pay": ("id long, dept long, salary double", [(1, 10, 100.0), (2, None, 50.0), (3, None, 25.0), (4, 10, 20.0)]),
-    "Mixed": ("id long, score long, weight double", [(1, 10, 1.5), (2, 20, 2.5), (3, 30, None)]),
-    "Nothing": ("id long, name string", []),
-    "A": ("id long", [(1,), (2,), (2,), (2,), (3,)]),
-    "B": ("id long", [(2,), (2,), (4,)]),
-    "C": ("id long", [(2,)]),
-    "Nodes": ("id long, parent_id long, name string", [(1, 0, "root"), (2, 1, "child"), (3, 2, "leaf"), (4, 1, "other")]),
-    "Edges": ("src long, dst long", [(1, 2), (2, 1), (2, 3)]),
-    "Hops": ("id long, next_id long", [(1, 2), (2, 3), (3, 4), (4, 5)]),
-    "Partial": ("id long, dept long, flag long, name string", [(1, 1, 0, "id-dept"), (1, 0, 1, "id-flag"), (2, 1, 1, "no-id"), (1, 0, 0, "id-neither")]),
+HARBOUR = {
+    "Boats": ("id long, title string, metres double, port long", [(1, "Heron", 14.5, 7), (2, "Kestrel", 9.25, 4), (3, "Osprey", 12.75, 7), (4, "Plover", 6.0, None)]),
+    "Ports": ("id long, town string", [(7, "Bergen"), (8, "Oban"), (9, "Vigo")]),
+    "Trips": ("boat long, miles double", [(1, 40.0), (1, 310.5), (2, 88.0), (4, 12.5), (6, 5.0)]),
+    "Berths": ("boat long, port long", [(1, 7), (2, 4), (3, 8)]),
+    "Logs": ("id long, skipper string, entry string", [(1, "Ines", "calm sea at dawn"), (2, "Tomas", "fog"), (3, "Inga", "sea mist, calm later")]),
+    "Signs": ("id long, call string", [(1, "Sol"), (2, None), (3, "Mar")]),
+    "Tides": ("id long, slot long, mark string", [(1, None, "unknown tide"), (2, 3, "third tide")]),
+    "Moons": ("id long, slot long, phase string", [(11, None, "unseen"), (12, 3, "waxing"), (13, 4, "full")]),
+    "Quotas": ("id long, least double", [(1, 10.0), (2, 13.0)]),
+    "Fees": ("id long, zone long, paid double", [(1, 3, 30.5), (2, None, 8.0), (3, None, 4.25), (4, 3, 1.5), (5, 2, 9.0)]),
+    "Gauges": ("id long, level long, drift double", [(1, 6, 0.5), (2, 9, 2.5), (3, 15, None)]),
+    "Vacant": ("id long, note string", []),
+    "P": ("id long", [(5,), (6,), (6,), (6,), (7,)]),
+    "Q": ("id long", [(6,), (6,), (8,)]),
+    "S": ("id long", [(6,)]),
+    "Gear": ("id long, above long, label string", [(1, 0, "hull"), (2, 1, "mast"), (3, 2, "boom"), (4, 1, "keel"), (5, 3, "reef")]),
+    "Lanes": ("src long, dst long", [(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)]),
+    "Locks": ("id long, after long", [(10, 20), (20, 30), (30, 40), (40, 50)]),
+    "Crates": ("id long, dry long, red long, tag string", [(1, 1, 0, "dry"), (1, 0, 1, "red"), (2, 1, 1, "both, of two"), (1, 0, 0, "plain")]),
 }
 
 
 def session(spark, **options) -> Session:
-    return Session(spark, tables={name: spark.createDataFrame(rows, schema) for name, (schema, rows) in FIXTURES.items()}, **options)
+    return Session(spark, tables={name: spark.createDataFrame(rows, schema) for name, (schema, rows) in HARBOUR.items()}, **options)
 
 
 def rows(engine: Session, sql: str) -> list[tuple]:

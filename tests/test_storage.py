@@ -6,6 +6,7 @@ import uuid
 import pytest
 
 from lodestone import cli
+from lodestone.errors import EngineError
 from lodestone.session import Session
 from tests.support import rows
 
@@ -263,6 +264,78 @@ def test_many_segments_merge(db, monkeypatch):
     assert len(db.current_database.tables["T"].segments) <= 3 and rows(db, "SELECT id FROM T ORDER BY id") == list(range(6))
 
 
+def test_large_segments_are_not_merged(db, monkeypatch):
+    from lodestone.catalog import store
+
+    monkeypatch.setattr(store, "MAX_SEGMENTS", 2)
+    monkeypatch.setattr(store, "SMALL_BYTES", 0)
+    run(db, "CREATE TABLE T (id INT PRIMARY KEY)", *(f"INSERT INTO T VALUES ({i})" for i in range(4)))
+    assert len(db.current_database.tables["T"].segments) == 4 and rows(db, "SELECT id FROM T ORDER BY id") == list(range(4))
+
+
+def test_a_change_rewrites_the_files_that_it_hits(db, spark):
+    db.import_table("T", spark.range(0, 1000, 1, 8).selectExpr("id", "id AS v"), primary="id")
+    before = set(db.current_database.tables["T"].segments)
+    assert len(before) == 8
+    run(db, "UPDATE T SET v = 0 WHERE id = 500")
+    assert len(before - set(db.current_database.tables["T"].segments)) == 1
+    run(db, "DELETE FROM T WHERE id = 900")
+    assert len(before - set(db.current_database.tables["T"].segments)) == 2
+    assert rows(db, "SELECT COUNT(*), SUM(v) FROM T") == [(999, 499500 - 500 - 900)]
+
+
+def test_vacuum(db, spark, root):
+    run(db, "CREATE TABLE T (id INT)", "INSERT INTO T VALUES (1), (2)", "INSERT INTO T VALUES (3)", "SAVE DATABASE", "UPDATE T SET id = 9 WHERE id = 1", "DELETE FROM T WHERE id = 9", "CREATE TABLE U (id INT)", "INSERT INTO U VALUES (1)", "DROP TABLE U")
+    run(db, "BEGIN")
+    with pytest.raises(EngineError, match="transactions are open"):
+        db.vacuum()
+    run(db, "ROLLBACK")
+    assert db.vacuum() >= 2 and db.vacuum() == 0
+    assert rows(db, "SELECT id FROM T ORDER BY id") == [2, 3]
+    run(db, "LOAD DATABASE")
+    assert rows(db, "SELECT id FROM T ORDER BY id") == [1, 2, 3]
+
+
+def test_store_of_another_application(spark, root, db):
+    from lodestone.catalog.store import Store
+
+    assert Store.at(spark, root) is db.store and Store.at(spark, root + "/") is db.store
+    Store._stores[("ended", root)] = Store._stores.pop((spark.sparkContext.applicationId, root))
+    assert Store.at(spark, root) is not db.store
+
+
+def test_tables_by_themselves(db):
+    run(db, "CREATE TABLE T (id INT PRIMARY KEY, v INT NULL)", "CREATE INDEX i ON T(v)", "INSERT INTO T VALUES (1, 5), (2, NULL)")
+    db.insert_row("T", (3, 5))
+    with pytest.raises(EngineError, match="UNIQUE"):
+        db.insert_row("T", (3, 6))
+    found = {r["id"]: r["__row_id"] for r in db.lookup("T", {"v": 5}).collect()}
+    assert set(found) == {1, 3} and [r["id"] for r in db.lookup("T", {"v": None}).collect()] == [2]
+    assert db.row("T", found[3]) == (3, 5) and db.row("T", 999) is None
+    assert db.update_row("T", found[3], "v", 8) and not db.update_row("T", 999, "v", 8)
+    assert db.row("T", found[3]) == (3, 8) and db.erase_row("T", found[1]) and not db.erase_row("T", found[1])
+    assert rows(db, "SELECT * FROM T ORDER BY id") == [(2, None), (3, 8)]
+    with pytest.raises(EngineError, match="no index"):
+        db.lookup("T", {"id": 1, "v": 2})
+    table = db.detach_table("T")
+    refused(db, "SELECT id FROM T", "unknown table T")
+    db.attach_table(table)
+    with pytest.raises(EngineError, match="already exists"):
+        db.attach_table(table)
+    db.clone_database("copy")
+    run(db, "DELETE FROM T")
+    assert db.current_database.name == "copy" and rows(db, "SELECT id FROM T") == []
+
+
+def test_explain_runs_nothing(db, spark):
+    run(db, "CREATE TABLE T (id INT, up INT)", "INSERT INTO T VALUES (1, 0), (2, 1), (3, 2)")
+    group, context = uuid.uuid4().hex, spark.sparkContext
+    context.setJobGroup(group, "explain")
+    text = plan(db, "EXPLAIN WITH RECURSIVE r AS (SELECT id FROM T WHERE id = 1 UNION SELECT T.id FROM T JOIN r ON T.up = r.id), m AS MATERIALIZED (SELECT id FROM T) SELECT r.id FROM r JOIN m ON r.id = m.id")
+    assert "materialized recursive CTE r" in text and not context.statusTracker().getJobIdsForGroup(group)
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_import(db, spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     assert db.import_table("T", df, primary="id") == 2

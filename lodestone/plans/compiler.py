@@ -360,6 +360,7 @@ def always(select: ast.Select) -> bool:
 
 def subquery(frame: Frame, node, env: Environment) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Distinct keys of a subquery, and which column of the frame each is compared with."""
+    node = unlimited(node)
     inner_env = replace(env, level=env.level + 1)
     pairs, domain = [], None
     used = {}
@@ -388,9 +389,15 @@ def subquery(frame: Frame, node, env: Environment) -> tuple[DataFrame, list[tupl
     return (output.df.select(*keys).distinct() if keys else output.df.limit(1).select(F.lit(True).alias(fresh("any")))), pairs
 
 
+def unlimited(node):
+    """The same EXISTS without a LIMIT of a row or more, which changes nothing of whether there is one."""
+    return replace(node, select=replace(node.select, limit=None)) if isinstance(node, ast.Exists) and node.select.limit else node
+
+
 def semi(frame: Frame, node, env: Environment) -> DataFrame:
     if isinstance(node, ast.Exists) and always(node.select):
         return frame.df
+    node = unlimited(node)
     if (found := direct_semi(frame, node, env)) is not None:
         return found
     keys, pairs = subquery(frame, node, env)
@@ -410,6 +417,8 @@ def direct_semi(frame: Frame, node, env: Environment) -> DataFrame | None:
     if any(shallow_subqueries(p) for p in outer):
         return None
     inner = from_clause(select, inner_env, None)
+    if select.order_by and resolve(select.order_by[0], inner.cols) is None:
+        raise EngineError(f"unknown ORDER BY column {select.order_by[0]}")
     if own := tuple(p for p in parts if p not in outer):
         inner = filtered(inner, ast.And(own), inner_env)
     both = Frame(frame.df, inner.cols, (*frame.cols, *frame.carried))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -45,6 +46,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
         self.size = self.tokenizer.get_vocab_size()
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         letters, numbers = latin("L"), latin("N")
@@ -57,8 +59,9 @@ class WordEncoder:
         self.memo = Memo(self.word, memo)
 
     def word(self, word: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        return np.array([t.id for t in tokens], self.width).tobytes()
+        """The ids of one word. The bytes of its ASCII stand for themselves: words here have no blanks or controls."""
+        told = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(told)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.exact and UNUSUAL.search(text) is None and self.added.search(text) is None:
@@ -107,11 +110,10 @@ def tokenised(df: DataFrame, tokenizer_path: str, end_id: int, seed: int) -> Dat
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = [enc.encode(x) + end for x in part.column("text").to_pylist()]
-                at = np.empty((len(ids), DIMS), np.float64)
-                for i, x in enumerate(ids):
-                    vector = np.log1p(np.bincount(slot[np.frombuffer(x, enc.width)], minlength=HASHED))
-                    at[i] = vector @ project / math.sqrt(vector @ vector)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(enc.width).itemsize
+                slots = np.repeat(np.arange(len(ids)) * HASHED, sizes) + slot[np.frombuffer(b"".join(ids), enc.width)]
+                bags = np.log1p(np.bincount(slots, minlength=len(ids) * HASHED)).reshape(-1, HASHED)
+                at = bags @ project / np.sqrt((bags**2).sum(axis=1))[:, None]
                 columns = [part.column("doc_id").cast(pa.int64()), part.column("row"), pa.array(ids, pa.binary()), pa.array(sizes), *(pa.array(at[:, k]) for k in range(DIMS))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "ids", "n_tokens", *(f"c{k}" for k in range(DIMS))])
 

@@ -52,6 +52,8 @@ class ForcedBoundaryBPE:
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {token.content: i for i, token in added.items()}
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        #: Added tokens that take blanks beside them, or stand for whole words only, are left to the library.
+        self.odd_added = any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *added]) + 1)
         self.inside = np.zeros((256, 256), bool)
@@ -99,6 +101,8 @@ class ForcedBoundaryBPE:
         """Ids as little-endian int32."""
         if self.added_split is None or self.added_split.search(text) is None:
             return b"".join(map(self.pretokens.__getitem__, self.split(text)))
+        if self.odd_added:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
         out = []
         for part in self.added_split.split(text):
             if part in self.added:
@@ -154,7 +158,10 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids and decoded: encode_documents() and decode_documents() in one pass, so with one Python worker a task."""
+    """doc_id, ids and decoded: encode_documents() and decode_documents() in one pass, so with one Python worker a task.
+
+    Nulls, empty and long texts, repeated rows, other columns and empty tables are as for encode_documents().
+    """
 
     def run(batches):
         own = coder(tokenizer_path)

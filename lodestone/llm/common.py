@@ -7,7 +7,6 @@ import ctypes
 import gc
 import os
 import string
-import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,6 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from lodestone.sources.files import checkpoint_root
 
 #: Bytes of text that a Python worker holds unpacked at once.
 CHUNK_BYTES = 1 << 20
@@ -42,17 +44,6 @@ def prepare_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: `spark.checkpoint.dir`, or a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors.
 
@@ -63,7 +54,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         prepare_workers(spark)
         self.spark = spark
-        self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count, self.last, self.tables = 0, "", []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -128,9 +119,14 @@ def clear_prefix(df: DataFrame) -> str:
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, under fixed names; null text becomes empty."""
+    """Only the two columns an operator reads, under fixed names; null text becomes empty.
+
+    Ids are integers of any width, null among them; operators that hand rows to Python take no others.
+    """
     prepare_workers(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold integers")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 _held: list = [None, None]

@@ -22,6 +22,8 @@ from lodestone.llm.common import chunks, clear_prefix, id_and_text, let_go, prep
 SYMBOLS, SIZE, GROUP = 40, 1024, 48
 #: Trigrams whose vectors are made at once.
 BLOCK = 1024
+#: What a row's hash is taken modulo to choose the sample.
+GRAINS = 1 << 50
 GRAMS = SYMBOLS**3
 UNKNOWN = "und"
 
@@ -95,19 +97,21 @@ class Profiles:
     seed: int
 
 
-def fit(labelled: DataFrame, *, per_language: int = 4000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+def fit(labelled: DataFrame, *, per_language: int = 4000, max_languages: int = 1000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Language prototypes from labelled rows; rows without a language or text are left out.
 
-    At most about `per_language` rows of each language are used, chosen by a hash of their id: the bound
-    of the sample. Every vector counts alike and is rounded, so sums do not depend on their order.
+    At most about `per_language` rows of each language are used, chosen by a hash of their id, and the
+    `max_languages` of most rows (ties by name): the bounds of the sample and of what the driver holds.
+    Every vector counts alike and is rounded, so sums do not depend on their order.
     """
     prepare_workers(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = {r["lang"]: per_language / r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.collect()}
     if not share:
         return Profiles([], np.zeros((0, SIZE), np.float32), seed)
-    grains = F.element_at(F.create_map(*(F.lit(x) for lang, part in share.items() for x in (lang, int(1e6 * min(1, part)) + 1))), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < grains)
+    grains = F.element_at(F.create_map(*(F.lit(x) for lang, part in share.items() for x in (lang, int(GRAINS * part)))), F.col("lang"))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(GRAINS)) < grains)
 
     def run(batches):
         let_go()

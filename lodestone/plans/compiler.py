@@ -250,7 +250,7 @@ def source_frame(source: ast.Source, env: Environment, domain: Frame | None = No
 
 
 def compile_core(select: ast.Select, env: Environment, domain: Frame | None = None) -> Output:
-    env = with_ctes(select.ctes, env, domain)
+    """A SELECT by itself; its CTEs are bound in `env`."""
     frame = from_clause(select, env, domain)
     if select.where is not None:
         frame = filtered(frame, select.where, env)

@@ -125,6 +125,17 @@ def test_subqueries_of_all_shapes(db, sql, expected):
         assert bag(db, sql) == expected
 
 
+def test_ctes_are_made_once(spark, monkeypatch):
+    from lodestone.operators import recursion
+    from lodestone.plans import compiler
+
+    made, run, checkpointed = [], recursion.run, compiler.checkpointed
+    monkeypatch.setattr(compiler, "checkpointed", lambda df: made.append("table") or checkpointed(df))
+    monkeypatch.setattr(recursion, "run", lambda *a: made.append("recursion") or run(*a))
+    sql = "WITH RECURSIVE m AS MATERIALIZED (SELECT id FROM Ports), rig AS (SELECT id FROM Gear WHERE id = 2 UNION SELECT Gear.id FROM Gear JOIN rig ON Gear.above = rig.id) SELECT COUNT(*) FROM m JOIN rig ON m.id > rig.id"
+    assert rows(session(spark), sql) == [9] and sorted(made) == ["recursion", "table"]
+
+
 def test_recursion_caps(spark):
     small = session(spark, limits=Limits(iterations=3, rows=50))
     sql = "WITH RECURSIVE t AS ACCUMULATOR (SELECT id FROM Gear WHERE id = 1 UNION ALL SELECT Gear.id FROM Gear JOIN t ON Gear.above = t.id) SELECT id FROM t"
